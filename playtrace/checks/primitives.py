@@ -55,7 +55,7 @@ def _(spark, folder):
 
 
 @query("s3_read_feature_matrix", on_terminal(
-    f"SELECT t.installation_id, t.game_session, t.ord AS game_session_order, l.accuracy_group FROM term t "
+    f"SELECT t.installation_id, t.game_session, t.ord AS game_session_order, CAST(l.accuracy_group AS BIGINT) AS accuracy_group FROM term t "
     f"JOIN (SELECT {KEYS}, CASE WHEN s = n THEN 3 WHEN 2 * s = n THEN 2 WHEN s > 0 AND 2 * s < n THEN 1 ELSE 0 END "
     f"AS accuracy_group FROM (SELECT {KEYS}, sum(attempt) AS n, sum(is_attempt_successful) AS s FROM fl GROUP BY {KEYS}) "
     f"WHERE n > 0) l USING ({KEYS})"))
@@ -207,7 +207,7 @@ def _(spark, folder):
 def _(spark, folder):
     sessions = session_frame(game_events(spark, folder)).filter(X.is_assessment())
     pasted = sessions.withColumn("pasted", X.paste(F.col("title"), F.col("attempts"), sep="/"))
-    return X.paste_collapse(pasted, [LOG.entity], LOG.session, "pasted", "; ")
+    return A.paste_collapse(pasted, [LOG.entity], LOG.session, "pasted", "; ")
 
 
 @query("x15_select_rename_drop", on_log(
@@ -438,7 +438,7 @@ def _(spark, folder):
     return D.target_features(D.last_assessment(steps.assessments), known_labels(steps))
 
 
-@query("j5_left_join_by_id", "SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)")
+@query("j5_left_join_by_id", "SELECT doc_id, n_chars, CAST(quality AS BIGINT) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def _(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "n_chars")
     return documents.join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")

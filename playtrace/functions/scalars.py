@@ -91,16 +91,6 @@ def paste(*columns: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *[c.cast("string") for c in columns])
 
 
-def paste_collapse(df: DataFrame, keys: list[str], order: str, text: str, collapse: str) -> DataFrame:
-    """One string per key from the texts of its rows in ``order``.
-
-    The result is one value per key, so its size is that of the key's own texts.
-    """
-    pair = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["t"]), collapse)
-    return df.groupBy(*keys).agg(joined.alias(text))
-
-
 def slug(text: object) -> str:
     """Lower-case column-name form of a category value."""
     kept = "".join(ch.lower() if ch.isalnum() else " " for ch in str(text))

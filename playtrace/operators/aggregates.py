@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.functions.json import json_field
 from playtrace.functions.scalars import is_assessment
+from playtrace.operators.scan import key_sizes
+from playtrace.runtime import group_rows
 
 
 def session_totals(events: DataFrame, log: EventLog = DEFAULT_LOG, only_assessments: bool = False) -> DataFrame:
@@ -108,6 +110,19 @@ def row_mode(df: DataFrame, columns: list[str], name: str = "mode") -> DataFrame
     return df.withColumn(name, -F.array_max(scored)["minus"])
 
 
+def paste_collapse(df: DataFrame, keys: list[str], order: str, text: str, collapse: str) -> DataFrame:
+    """One string per key from the texts of its rows in ``order``.
+
+    The value is as long as the key's texts together, so a key with more rows than a task may hold is refused
+    rather than cut.
+    """
+    if key_sizes(df, keys).largest > group_rows(df.sparkSession):
+        raise ValueError(f"a value of {keys} has too many rows to become one string")
+    pair = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["t"]), collapse)
+    return df.groupBy(*keys).agg(joined.alias(text))
+
+
 def first_by(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Value of the first row of each group."""
     return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))
