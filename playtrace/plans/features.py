@@ -65,7 +65,7 @@ def distinct_values(df: DataFrame, column: str, max_values: int = 2000) -> list:
 
 
 def fit_vocabulary(events: DataFrame, log: EventLog = DEFAULT_LOG) -> Vocabulary:
-    """Worlds and stripped titles of the assessments."""
+    """Worlds and stripped titles of the assessments; ``events`` may be the log or its session table."""
     assessments = events.filter(is_assessment(log))
     stripped = assessments.select(
         log.world, strip_suffix_chars(F.col(log.title), log.title_strip_chars).alias(log.title))
@@ -114,8 +114,8 @@ def build_features(
     except with the per-title statistics, which have one row per title.
     """
     chosen = VARIANTS[variant] if isinstance(variant, str) else variant
-    vocabulary = vocabulary or fit_vocabulary(events, log)
     steps = steps or SessionSteps(events, log)
+    vocabulary = vocabulary or fit_vocabulary(steps.sessions, log)
 
     first = [B.assessment_counter(), B.previous_accuracy(), B.past_assessment_time_events(),
              B.time_and_events_till_attempt(), B.previous_mean_duration()]
