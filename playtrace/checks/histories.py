@@ -18,7 +18,7 @@ from playtrace.plans import blocks as B
 from playtrace.plans import datasets as D
 from playtrace.plans.calendar import calendar_rows
 from playtrace.plans.features import TITLE_STATISTICS, build_features, distinct_values, fit_vocabulary
-from playtrace.sources.activity import game_events
+from playtrace.sources.activity import game_events, stored_game_events
 
 PLACE = [*LOG.keys, "event_count"]
 
@@ -39,7 +39,7 @@ TYPES = {"activities": "Activity", "games": "Game", "assessments": "Assessment"}
 
 
 def steps_of(spark, folder) -> SessionSteps:
-    return SessionSteps(game_events(spark, folder))
+    return SessionSteps(stored_game_events(spark, folder))
 
 
 def pick(df, *columns):
@@ -70,7 +70,7 @@ FROM fr f LEFT JOIN a USING (installation_id, game_session)"""
     more=", f.attempt, f.is_attempt_successful, f.cumulative_attempts, f.cumulative_successes, "
          "f.cumulative_attempts - f.cumulative_successes AS cumulative_fails")))
 def _(spark, folder):
-    return prepare_events(game_events(spark, folder)).drop(
+    return prepare_events(stored_game_events(spark, folder)).drop(
         "event_id", "event_data", "timestamp", "event_code", "game_time", "title", "type", "world")
 
 
@@ -283,9 +283,8 @@ def _(spark, folder):
 
 
 def title_block(spark, folder, prefix: str):
-    events = game_events(spark, folder)
-    steps = SessionSteps(events)
-    block = B.title_history(distinct_values(events, LOG.title))
+    steps = steps_of(spark, folder)
+    block = B.title_history(distinct_values(steps.sessions, LOG.title))
     rows = B.terminal_event_block(steps, B.running_attempts(), block)
     return pick(rows, *[c for c in block.outputs if c.startswith(prefix)])
 
@@ -363,7 +362,7 @@ TITLE_HOT = ", ".join(f"CAST(rtrim(title, ' (Assessment)') = '{t}' AS BIGINT) AS
 
 @query("p11_one_hot", on_assessments(f"SELECT {KEYS}, {WORLD_HOT}, {TITLE_HOT} FROM a"))
 def _(spark, folder):
-    events = game_events(spark, folder)
+    events = stored_game_events(spark, folder)
     known = fit_vocabulary(events)
     title = strip_suffix_chars(F.col(LOG.title))
     hot = B.one_hot(F.col(LOG.world), known.worlds, "world_") | B.one_hot(title, known.titles, "title_")
@@ -488,7 +487,7 @@ CAL_SQL = "month(moment) AS month, hour(moment) AS hour, year(moment) AS year, C
 @query("b9_calendar_and_dummies", on_assessments(
     f"SELECT {KEYS}, {CAL_SQL}, {WORLD_HOT}, {TITLE_HOT} FROM a JOIN early USING ({KEYS})", EARLIEST))
 def _(spark, folder):
-    events = game_events(spark, folder)
+    events = stored_game_events(spark, folder)
     known = fit_vocabulary(events)
     title = strip_suffix_chars(F.col(LOG.title))
     columns = B.calendar_columns() | B.one_hot(F.col(LOG.world), known.worlds, "world_")
@@ -594,19 +593,19 @@ def feature_columns_sql(variant: str) -> str:
 
 @query("b15_features_main", feature_sql("main"))
 def _(spark, folder):
-    return build_features(game_events(spark, folder), "main")
+    return build_features(stored_game_events(spark, folder), "main")
 
 
 @query("b15_features_boosted", feature_sql("boosted"))
 def _(spark, folder):
-    return build_features(game_events(spark, folder), "boosted")
+    return build_features(stored_game_events(spark, folder), "boosted")
 
 
 @query("b15_features_stacked", feature_sql("stacked"))
 def _(spark, folder):
-    return build_features(game_events(spark, folder), "stacked")
+    return build_features(stored_game_events(spark, folder), "stacked")
 
 
 @query("b15_features_self_label", feature_sql("self_label"))
 def _(spark, folder):
-    return build_features(game_events(spark, folder), "self_label")
+    return build_features(stored_game_events(spark, folder), "self_label")

@@ -15,10 +15,10 @@ from playtrace.operators.sessions import session_frame, title_measures
 from playtrace.plans import blocks as B
 from playtrace.plans import datasets as D
 from playtrace.plans.calendar import calendar_rows
-from playtrace.plans.features import build_features, distinct_values
+from playtrace.plans.features import build_features, distinct_values, features_of
 from playtrace.runtime import new_path
 from playtrace.sources import tables as S
-from playtrace.sources.activity import game_events
+from playtrace.sources.activity import game_events, stored_game_events
 
 LOG_COLUMNS = "event_id, game_session, event_data, installation_id, event_count, event_code, game_time, title, type, world"
 
@@ -508,24 +508,22 @@ def _(spark, folder):
 @query("b16_training_set", feature_sql("main", f"feat JOIN labelled l USING ({KEYS})", ", l.accuracy_group").replace(
     "\nlab AS (", f"\nlabelled AS ({LABELS}),\nlab AS ("))
 def _(spark, folder):
-    events = game_events(spark, folder)
-    labels = session_frame(events).filter(X.is_assessment() & (F.col("attempts") > 0))
-    return D.training_set(build_features(events, "main"), labels)
+    steps = steps_of(spark, folder)
+    return D.training_set(features_of(steps, "main"), known_labels(steps))
 
 
 @query("b16_prediction_set", feature_sql("main", f"feat RIGHT JOIN last_one USING ({KEYS})").replace(
     "\nlab AS (", LAST + ",\nlab AS ("))
 def _(spark, folder):
     steps = steps_of(spark, folder)
-    features = build_features(game_events(spark, folder), "main", steps=steps)
-    return D.prediction_set(features, D.last_assessment(steps.assessments))
+    return D.prediction_set(features_of(steps, "main"), D.last_assessment(steps.assessments))
 
 
 @query("b16_holdout_split", feature_sql(
     "self_label", "feat", ", CASE WHEN assessments_played = max(assessments_played) OVER (PARTITION BY installation_id) "
     "THEN 'latest' ELSE 'earlier' END AS part"))
 def _(spark, folder):
-    earlier, latest = D.holdout_split(build_features(game_events(spark, folder), "self_label"))
+    earlier, latest = D.holdout_split(build_features(stored_game_events(spark, folder), "self_label"))
     return earlier.withColumn("part", F.lit("earlier")).unionByName(latest.withColumn("part", F.lit("latest")))
 
 

@@ -15,14 +15,14 @@ from playtrace.operators import aggregates as A
 from playtrace.operators.metrics import compare_models
 from playtrace.plans import datasets as D
 from playtrace.plans.features import build_features
-from playtrace.sources.activity import game_events
+from playtrace.sources.activity import stored_game_events
 
 CLASSES = 4
 
 
 def game_sets(spark, folder, columns: list[str] | None = None):
     """Assembled (train, test, feature names): all assessments but the latest of each entity, and those."""
-    features = build_features(game_events(spark, folder), "self_label")
+    features = build_features(stored_game_events(spark, folder), "self_label")
     names = columns or [c for c in features.columns if c not in (*LOG.keys, "accuracy_group")]
     earlier, latest = D.holdout_split(features)
     rows = earlier.withColumn("part", F.lit("train")).unionByName(latest.withColumn("part", F.lit("test")))
@@ -226,7 +226,7 @@ CORRELATED = [c for c in HISTORY if c not in ("past_assessment_ag",)] + ["past_a
         f"AS r FROM (SELECT CAST({c} AS DOUBLE) AS x, CAST(accuracy_group AS DOUBLE) AS y FROM feat)) WHERE abs(r) > 0.05"
         for c in CORRELATED), *FEATURE_VIEWS))
 def _(spark, folder):
-    features = build_features(game_events(spark, folder), "self_label")
+    features = build_features(stored_game_events(spark, folder), "self_label")
     table = A.feature_label_correlation(features, "accuracy_group", CORRELATED)
     kept = A.keep_columns(features, A.correlated_features(features, "accuracy_group", 0.05, CORRELATED)).columns
     return table.filter(F.col("feature").isin(kept))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from playtrace.models.learners import Predictor, argmax, logistic
 from playtrace.operators.aggregates import row_mode
-from playtrace.operators.sampling import balanced_resample, kfold
+from playtrace.operators.sampling import ClassIndex, kfold
 from playtrace.runtime import materialize
 
 # --- ordinal ---
@@ -113,7 +113,7 @@ class BoostedModel(Predictor):
 class AdaptiveBoosting:
     """Multi-class adaptive boosting over depth-one trees.
 
-    Row weights are a column; each round writes them down, so the plan stays as long as one round.
+    Row weights are a column; each round writes down what it got wrong, so the plan stays as long as one round.
     """
 
     classes: int
@@ -126,7 +126,8 @@ class AdaptiveBoosting:
         stumps, weights = [], []
         for _ in range(self.rounds):
             model = stump.fit(rows)
-            judged = model.transform(rows).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
+            missed = (F.col("prediction") != F.col("label")).cast("double").alias("miss")
+            judged = materialize(model.transform(rows).select("features", "label", "weight", missed), "boost")
             error = judged.agg((F.sum(F.col("weight") * F.col("miss")) / F.sum("weight")).alias("e")).first()["e"]
             if error >= 1 - 1 / self.classes:
                 break  # no better than guessing
@@ -139,7 +140,7 @@ class AdaptiveBoosting:
             # Heavier where missed, scaled so that the weights keep their mean.
             scale = 1 / ((1 - error) + error * exp(amount))
             raised = F.col("weight") * F.exp(F.lit(amount) * F.col("miss")) * F.lit(scale)
-            rows = materialize(judged.select("features", "label", raised.alias("weight")), "boost")
+            rows = judged.select("features", "label", raised.alias("weight"))
         if not stumps:
             raise ValueError("the first tree is no better than guessing")
         return BoostedModel(stumps, weights, self.classes)
@@ -157,15 +158,11 @@ def resample_and_vote(
     ``train`` has keys, ``features`` and ``label``. With ``compound`` each round resamples the rows drawn in the
     round before, otherwise every round draws from ``train``. Adds ``pred_0..`` and ``prediction`` to ``test``.
     """
-    rows, row_keys, names = train, list(keys), []
+    index, names = ClassIndex(train, "label", keys), []
     for i in range(rounds):
-        drawn = balanced_resample(rows, "label", row_keys, mode, seed + i)
+        drawn = materialize(index.draw(mode, seed + i).select("features", "label", "draw"), "drawn")
         if compound:
-            # (label, draw) identifies a drawn row; it is the next round's key.
-            drawn = materialize(drawn.select("features", "label", F.col("draw").alias("_draw")), "drawn")
-            rows, row_keys = drawn, ["_draw"]
-        else:
-            drawn = materialize(drawn.select("features", "label"), "drawn")
+            index = ClassIndex(drawn.withColumnRenamed("draw", "_drawn"), "label", ["_drawn"])
         names.append(f"pred_{i}")
         test = learner.fit(drawn).predict(test, names[-1])
     return row_mode(test, names, "prediction")

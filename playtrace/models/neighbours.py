@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from playtrace.models.learners import Predictor
 from playtrace.runtime import materialize
 
-PIVOTS = 64
 BLOCK_ROWS = 4000
+FEWEST_PIVOTS, MOST_PIVOTS = 16, 1024
 SLACK = 1 + 1e-9  # keeps rounding in the bounds from ruling out a true neighbour
 
 
@@ -54,15 +54,17 @@ def visited_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, ne
     def visits(vectors: pd.Series) -> pd.Series:
         out = []
         for row in _distances(np.stack(vectors.to_numpy()), pivots):
-            reach = np.sort((row[:, None] + near).ravel())
-            bound = reach[min(k, len(reach)) - 1]
+            reach = (row[:, None] + near).ravel()
+            bound = np.partition(reach, k - 1)[k - 1]
             out.append(np.flatnonzero(row - radius <= bound * SLACK).astype("int32"))
         return pd.Series(out)
 
     return queries.select("*", F.explode(visits("v")).alias("cell"))
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def nearest(
+    train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None
+) -> DataFrame:
     """(query vector ``v``, ``id``, ``distance``, ``label``) of the k nearest training rows of each distinct query.
 
     ``train`` has ``id``, ``v`` (array of doubles) and ``label``; ``queries`` has ``v``. Equally distant rows
@@ -72,6 +74,8 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     rows = materialize(
         train.select("id", "v", "label").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k).drop("_n"),
         "train")
+    # About the root of the number of rows, so that rows per cell grow as slowly as cells per query.
+    pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, rows.count() ** 0.5)))
     # Any rows serve as pivots; the ones of smallest hash are a fixed, spread-out choice.
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     centres = np.array([r["v"] for r in chosen])
@@ -93,8 +97,8 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row per pivot
 
     def parts(sizes):
-        pairs = [x for c, n in sizes.items() for x in (F.lit(c), F.lit(max(1, ceil(n / block_rows))))]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
+        counts = [max(1, ceil(sizes.get(c, 0) / block_rows)) for c in range(len(centres))]
+        return F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("cell") + 1)
 
     row_blocks = parts({c: r["rows"] for c, r in shape.items()})
     query_blocks = parts(visitors)

@@ -33,28 +33,41 @@ def numbered_within(df: DataFrame, label: str, keys: list[str], name: str = "row
     return scan.result().withColumn(name, F.col(name) - 1)
 
 
-def balanced_resample(
-    df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42
-) -> DataFrame:
-    """Every class drawn with replacement to the size of the smallest ('down') or largest ('over') class.
-
-    Draw ``i`` of a class takes the row numbered ``md5(seed:class:i) mod class size``. Draws are generated in
-    parallel and joined to the numbered rows on (class, number), a key that no class can make hot. The result
-    has a ``draw`` column: with (label, draw) it identifies the drawn row.
-    """
-    spark = df.sparkSession
-    sizes = {r[label]: r["n"] for r in value_counts(df, label).collect()}  # one row per class
-    if not sizes:
-        return df.withColumn("draw", F.lit(0).cast("bigint"))
-    size = (min if mode == "down" else max)(sizes.values())
-    classes = sorted(sizes)
-    place = F.expr(f"cast(id div {size} as int) + 1")
-    draws = spark.range(size * len(classes)).select(
-        F.element_at(F.array(*[F.lit(c) for c in classes]), place).alias(label),
-        F.element_at(F.array(*[F.lit(sizes[c]) for c in classes]), place).alias("_size"),
-        (F.col("id") % size + 1).alias("draw"),
-    )
-    number = F.pmod(hashed_number(F.lit(seed), F.col(label), F.col("draw")), F.col("_size"))
-    drawn = draws.select(F.col(label).cast(df.schema[label].dataType), number.alias("row_in_class"), "draw")
-    rows = numbered_within(materialize(df, "resample"), label, keys)
-    return drawn.join(rows, [label, "row_in_class"], "inner").select(*df.columns, "draw")
+class ClassIndex:
+    """Rows numbered within their class, written once, from which any number of resamples can be drawn."""
+
+    def __init__(self, df: DataFrame, label: str, keys: list[str], max_classes: int = 10_000):
+        self.label, self.columns = label, df.columns
+        counts = value_counts(df, label).filter(F.col(label).isNotNull()).limit(max_classes + 1).collect()
+        if len(counts) > max_classes:
+            raise ValueError(f"{label} has more than {max_classes} classes")
+        self.sizes = {r[label]: r["n"] for r in counts}
+        self.rows = materialize(numbered_within(df, label, keys), "numbered")
+
+    def draw(self, mode: str = "down", seed: int = 42) -> DataFrame:
+        """Every class drawn with replacement to the size of the smallest ('down') or largest ('over') class.
+
+        Draw ``i`` of a class takes the row numbered ``md5(seed:class:i) mod class size``. Draws are generated
+        in parallel and joined to the numbered rows on (class, number), a key that no class can make hot. The
+        result has a ``draw`` column: with the label it identifies the drawn row.
+        """
+        spark, label = self.rows.sparkSession, self.label
+        if not self.sizes:
+            return self.rows.select(*self.columns, F.lit(0).cast("bigint").alias("draw"))
+        size = {"down": min, "over": max}[mode](self.sizes.values())
+        classes = sorted(self.sizes)
+        nth = F.expr(f"cast(id div {size} as int) + 1")
+        draws = spark.range(size * len(classes)).select(
+            F.element_at(F.array(*[F.lit(c) for c in classes]), nth).alias(label),
+            F.element_at(F.array(*[F.lit(self.sizes[c]) for c in classes]), nth).alias("_size"),
+            (F.col("id") % size + 1).alias("draw"),
+        )
+        number = F.pmod(hashed_number(F.lit(seed), F.col(label), F.col("draw")), F.col("_size"))
+        kind = self.rows.schema[label].dataType
+        drawn = draws.select(F.col(label).cast(kind), number.alias("row_in_class"), "draw")
+        return drawn.join(self.rows, [label, "row_in_class"], "inner").select(*self.columns, "draw")
+
+
+def balanced_resample(df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42) -> DataFrame:
+    """One balanced resample of ``df``; see ``ClassIndex.draw``."""
+    return ClassIndex(df, label, keys).draw(mode, seed)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.operators.scan import OrderedScan, position
 from playtrace.operators.sessions import first_order
+from playtrace.runtime import materialize
 
 
 def join_blocks(blocks: list[DataFrame], log: EventLog = DEFAULT_LOG) -> DataFrame:
@@ -82,7 +83,8 @@ def at_group_extreme(df: DataFrame, keys: list[str], column: str, largest: bool
 def holdout_split(
     features: DataFrame, latest_by: str = "assessments_played", log: EventLog = DEFAULT_LOG
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows before the latest assessment of their entity, the latest ones)."""
+    """(rows before the latest assessment of their entity, the latest ones). The features are written once."""
+    features = materialize(features, "features")
     latest = at_group_extreme(features, [log.entity], latest_by)
     ids = latest.select(log.session).distinct()
     return features.join(ids, log.session, "left_anti"), latest

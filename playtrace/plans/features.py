@@ -105,7 +105,6 @@ def build_features(
     variant: str | Variant = "main",
     vocabulary: Vocabulary | None = None,
     log: EventLog = DEFAULT_LOG,
-    steps: SessionSteps | None = None,
 ) -> DataFrame:
     """Keys plus the variant's feature columns, one row per ended assessment session.
 
@@ -113,8 +112,19 @@ def build_features(
     once. All histories then share a single layout by entity and one sort per order. No block joins are needed
     except with the per-title statistics, which have one row per title.
     """
+    return features_of(SessionSteps(events, log), variant, vocabulary)
+
+
+def features_of(
+    steps: SessionSteps, variant: str | Variant = "main", vocabulary: Vocabulary | None = None
+) -> DataFrame:
+    """``build_features`` over sessions that are prepared already.
+
+    Without a vocabulary the worlds and titles of these sessions are used; pass the one fitted on the training
+    log to give a test set the same columns.
+    """
+    log = steps.log
     chosen = VARIANTS[variant] if isinstance(variant, str) else variant
-    steps = steps or SessionSteps(events, log)
     vocabulary = vocabulary or fit_vocabulary(steps.sessions, log)
 
     first = [B.assessment_counter(), B.previous_accuracy(), B.past_assessment_time_events(),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtrace.operators.scan import OrderedScan, latest, position, previous, total
+from playtrace.runtime import materialize
 
 # Fixed values of the view.
 SESSION_GAP_SECONDS = 43_200
@@ -83,3 +84,8 @@ def game_events(spark: SparkSession, folder: str) -> DataFrame:
             "event_data", "installation_id", "event_count", "event_code", "game_time", "title", "type", "world",
         )
     )
+
+
+def stored_game_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log written down, for callers that read it more than once."""
+    return materialize(game_events(spark, folder), "log")
