@@ -71,7 +71,7 @@ FROM fr f LEFT JOIN a USING (installation_id, game_session)"""
          "f.cumulative_attempts - f.cumulative_successes AS cumulative_fails")))
 def _(spark, folder):
     return prepare_events(stored_game_events(spark, folder)).drop(
-        "event_id", "event_data", "timestamp", "event_code", "game_time", "title", "type", "world")
+        "event_id", "timestamp", "event_code", "game_time", "title", "type", "world")
 
 
 @query("b0_session_frame", on_terminal(

@@ -15,7 +15,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,69 +62,86 @@ def visited_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, ne
     return queries.select("*", F.explode(visits("v")).alias("cell"))
 
 
-def nearest(
-    train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None
-) -> DataFrame:
-    """(query vector ``v``, ``id``, ``distance``, ``label``) of the k nearest training rows of each distinct query.
+class NeighbourIndex:
+    """Training rows laid out in cells for any number of ``find`` calls.
 
-    ``train`` has ``id``, ``v`` (array of doubles) and ``label``; ``queries`` has ``v``. Equally distant rows
-    are taken in order of id.
+    ``train`` has ``id``, ``v`` (array of doubles) and ``label``.
     """
-    same = Window.partitionBy("v").orderBy("id")
-    rows = materialize(
-        train.select("id", "v", "label").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k).drop("_n"),
-        "train")
-    # About the root of the number of rows, so that rows per cell grow as slowly as cells per query.
-    pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, rows.count() ** 0.5)))
-    # Any rows serve as pivots; the ones of smallest hash are a fixed, spread-out choice.
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
-    centres = np.array([r["v"] for r in chosen])
-    placed = materialize(nearest_pivot(rows, centres), "cells")
-
-    by_distance = Window.partitionBy("cell").orderBy("to_pivot")
-    closest = placed.withColumn("_n", F.row_number().over(by_distance)).filter(F.col("_n") <= k)
-    shape = {r["cell"]: r for r in placed.groupBy("cell").agg(  # one row per pivot
-        F.count(F.lit(1)).alias("rows"), F.max("to_pivot").alias("radius")).collect()}
-    near = np.full((len(centres), k), np.inf)
-    radius = np.full(len(centres), -np.inf)
-    for r in closest.select("cell", "_n", "to_pivot").collect():  # at most k rows per pivot
-        near[r["cell"], r["_n"] - 1] = r["to_pivot"]
-    for cell, r in shape.items():
-        radius[cell] = r["radius"]
-
-    distinct = materialize(queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
-    visits = materialize(visited_cells(distinct, centres, radius, near, k), "visits")
-    visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row per pivot
-
-    def parts(sizes):
-        counts = [max(1, ceil(sizes.get(c, 0) / block_rows)) for c in range(len(centres))]
-        return F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("cell") + 1)
 
-    row_blocks = parts({c: r["rows"] for c, r in shape.items()})
-    query_blocks = parts(visitors)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = visits.withColumn("qb", F.pmod(F.xxhash64("query"), query_blocks).cast("int")).withColumn("rb", every(row_blocks))
-    right = placed.withColumn("rb", F.pmod(F.xxhash64("id"), row_blocks).cast("int")).withColumn("qb", every(query_blocks))
+    def __init__(self, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None):
+        self.k, self.block_rows = k, block_rows
+        same = Window.partitionBy("v").orderBy("id")
+        first = train.select("id", "v", "label").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k)
+        rows = materialize(first.drop("_n"), "train")
+        # About the root of the number of rows, so that rows per cell grow as slowly as cells per query.
+        pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, rows.count() ** 0.5)))
+        # Any rows serve as pivots; the ones of smallest hash are a fixed, spread-out choice.
+        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+        if not chosen:
+            raise ValueError("no training rows")
+        self.centres = np.array([r["v"] for r in chosen])
+        self.placed = materialize(nearest_pivot(rows, self.centres), "cells")
+
+        shape = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("to_pivot").alias("radius"))
+        self.rows_in, self.radius = {}, np.full(len(chosen), -np.inf)
+        for r in shape.collect():  # one row per pivot
+            self.rows_in[r["cell"]], self.radius[r["cell"]] = r["rows"], r["radius"]
+        by_distance = Window.partitionBy("cell").orderBy("to_pivot")
+        closest = self.placed.select("cell", "to_pivot", F.row_number().over(by_distance).alias("n")).filter(F.col("n") <= k)
+        self.near = np.full((len(chosen), k), np.inf)
+        for r in closest.collect():  # at most k rows per pivot
+            self.near[r["cell"], r["n"] - 1] = r["to_pivot"]
+
+    def _blocks(self, sizes: dict[int, int]) -> Column:
+        """Number of blocks of a row's cell."""
+        counts = [max(1, ceil(sizes.get(c, 0) / self.block_rows)) for c in range(len(self.centres))]
+        return F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("cell") + 1)
 
-    def block_neighbours(_, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asked) and len(known):
-            known = known.sort_values("id", kind="stable").reset_index(drop=True)
+    def find(self, queries: DataFrame) -> DataFrame:
+        """(query vector ``v``, ``id``, ``distance``, ``label``) of the k nearest training rows of each distinct query.
+
+        ``queries`` has ``v``. Equally distant rows are taken in order of id.
+        """
+        k = self.k
+        distinct = materialize(
+            queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+        visits = materialize(visited_cells(distinct, self.centres, self.radius, self.near, k), "visits")
+        visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row per pivot
+        row_blocks, query_blocks = self._blocks(self.rows_in), self._blocks(visitors)
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+        left = visits.withColumn("qb", part("query", query_blocks)).withColumn("rb", every(row_blocks))
+        right = self.placed.withColumn("rb", part("id", row_blocks)).withColumn("qb", every(query_blocks))
+
+        def block_neighbours(_, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(known):
+                return pd.DataFrame({"query": [], "id": [], "distance": [], "label": []})
+            known = known.sort_values("id", kind="stable")
             matrix = np.stack(known["v"].to_numpy())
-            for query, vector in zip(asked["query"], asked["v"]):
-                d = np.sqrt(((matrix - np.asarray(vector)) ** 2).sum(axis=1))
+            picks, distances = [], []
+            for vector in asked["v"]:
+                d = np.sqrt(((matrix - vector) ** 2).sum(axis=1))
                 best = np.argsort(d, kind="stable")[:k]  # stable: equal distances stay in order of id
-                found.append(pd.DataFrame({
-                    "query": query, "id": known["id"].to_numpy()[best], "distance": d[best],
-                    "label": known["label"].to_numpy()[best]}))
-        return pd.concat(found) if found else pd.DataFrame(columns=["query", "id", "distance", "label"])
+                picks.append(best)
+                distances.append(d[best])
+            picked = np.concatenate(picks)
+            return pd.DataFrame({
+                "query": np.repeat(asked["query"].to_numpy(), len(picks[0])), "id": known["id"].to_numpy()[picked],
+                "distance": np.concatenate(distances), "label": known["label"].to_numpy()[picked]})
 
-    id_type, label_type = train.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
-    partial = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInPandas(
-        block_neighbours, f"query bigint, id {id_type}, distance double, label {label_type}")
-    ranked = Window.partitionBy("query").orderBy("distance", "id")
-    top = partial.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") <= k).drop("_n")
-    return distinct.join(top, "query").drop("query")
+        types = {c: self.placed.schema[c].dataType.simpleString() for c in ("id", "label")}
+        partial = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInPandas(
+            block_neighbours, f"query bigint, id {types['id']}, distance double, label {types['label']}")
+        ranked = Window.partitionBy("query").orderBy("distance", "id")
+        top = partial.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") <= k).drop("_n")
+        return distinct.join(top, "query").drop("query")
+
+
+def nearest(
+    train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None
+) -> DataFrame:
+    """The k nearest training rows of each distinct query; see ``NeighbourIndex``."""
+    return NeighbourIndex(train, k, block_rows, pivots).find(queries)
 
 
 def neighbour_votes(found: DataFrame) -> DataFrame:
@@ -136,16 +153,14 @@ def neighbour_votes(found: DataFrame) -> DataFrame:
 
 @dataclass
 class NeighbourModel(Predictor):
-    train: DataFrame
-    k: int
+    index: NeighbourIndex
     classes: int
 
     def scores(self, df: DataFrame, name: str) -> DataFrame:
         """Share of each class among the neighbours."""
         asked = df.withColumn("v", vector_to_array("features"))
-        found = nearest(self.train, asked, self.k)
         share = lambda c: F.avg((F.col("label") == c).cast("double"))
-        shares = found.groupBy("v").agg(F.array(*[share(c) for c in range(self.classes)]).alias(name))
+        shares = self.index.find(asked).groupBy("v").agg(F.array(*[share(c) for c in range(self.classes)]).alias(name))
         return asked.join(shares, "v", "left").drop("v")
 
 
@@ -159,4 +174,4 @@ class NeighbourLearner:
 
     def fit(self, train: DataFrame) -> NeighbourModel:
         rows = train.select(F.col(self.id).alias("id"), vector_to_array("features").alias("v"), "label")
-        return NeighbourModel(materialize(rows, "neighbours"), self.k, self.classes)
+        return NeighbourModel(NeighbourIndex(rows, self.k), self.classes)

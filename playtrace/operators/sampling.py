@@ -34,7 +34,10 @@ def numbered_within(df: DataFrame, label: str, keys: list[str], name: str = "row
 
 
 class ClassIndex:
-    """Rows numbered within their class, written once, from which any number of resamples can be drawn."""
+    """Rows numbered within their class, written once, from which any number of resamples can be drawn.
+
+    ``df`` is read a few times: pass a table that is cheap to read.
+    """
 
     def __init__(self, df: DataFrame, label: str, keys: list[str], max_classes: int = 10_000):
         self.label, self.columns = label, df.columns
@@ -70,4 +73,4 @@ class ClassIndex:
 
 def balanced_resample(df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42) -> DataFrame:
     """One balanced resample of ``df``; see ``ClassIndex.draw``."""
-    return ClassIndex(df, label, keys).draw(mode, seed)
+    return ClassIndex(materialize(df, "resample"), label, keys).draw(mode, seed)

@@ -185,8 +185,12 @@ def with_session_measures(events: DataFrame, log: EventLog = DEFAULT_LOG) -> Dat
 
 
 def with_running_attempts(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
-    """Attempts, successes and fails of the entity up to and including each event."""
-    scan = OrderedScan(with_flags(events, log), [log.entity], [log.ts, log.session, log.count])
+    """Attempts, successes and fails of the entity up to and including each event.
+
+    The payload, by far the widest column, is read for the flags and not carried through the sort.
+    """
+    flagged = with_flags(events, log).drop(log.payload)
+    scan = OrderedScan(flagged, [log.entity], [log.ts, log.session, log.count])
     scan.with_running(
         cumulative_attempts=total(F.col("attempt")),
         cumulative_successes=total(F.col("is_attempt_successful")),

@@ -18,6 +18,7 @@ from playtrace.functions.scalars import (
 )
 from playtrace.operators.scan import OrderedScan, Running, deviation, highest, latest, mean, position, previous, total
 from playtrace.operators.sessions import SessionSteps, first_order
+from playtrace.runtime import materialize
 
 PAST = ["ag", "att", "succ", "fails", "accuracy"]
 GROUP_COUNTS = ["zeros", "ones", "twos", "threes"]
@@ -275,7 +276,7 @@ def event_code_history(events: DataFrame, codes: list[int], log: EventLog = DEFA
     seen = {f"code_{c}": F.max((F.col(log.code) == c).cast("bigint")) for c in codes}
     sessions = events.groupBy(*log.keys, log.kind).agg(
         F.min(log.ts).alias("first_ts"), *[_zero(c).alias(n) for n, c in seen.items()])
-    scan = OrderedScan(sessions, [log.entity], first_order(log))
+    scan = OrderedScan(materialize(sessions, "codes"), [log.entity], first_order(log))
     scan.with_running(**{n: total(F.col(n)) for n in seen})
     return scan.result().filter(is_assessment(log)).select(*log.keys, *seen)
 
