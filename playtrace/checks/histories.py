@@ -609,3 +609,26 @@ def _(spark, folder):
 @query("b15_features_self_label", feature_sql("self_label"))
 def _(spark, folder):
     return build_features(stored_game_events(spark, folder), "self_label")
+
+
+def fanout_sql(variant: str, parts: str, keep: str) -> str:
+    """One representative moment per distinct calendar value instead of one per session."""
+    several = f"""
+early AS (
+  SELECT {KEYS}, min(timestamp) AS moment FROM ge WHERE type = 'Assessment'
+  GROUP BY {KEYS}, {parts}{keep}
+)"""
+    views = [several if v == EARLIEST else v for v in FEATURE_VIEWS]
+    return on_all(f"SELECT {KEYS}, {feature_columns_sql(variant)} FROM feat", *views)
+
+
+@query("b15_features_main_fanout", fanout_sql(
+    "main", "month(timestamp), hour(timestamp), isodow(timestamp)",
+    f" QUALIFY hour(moment) = min(hour(moment)) OVER (PARTITION BY {KEYS})"))
+def _(spark, folder):
+    return build_features(stored_game_events(spark, folder), "main", allow_fanout=True)
+
+
+@query("b15_features_self_label_fanout", fanout_sql("self_label", "hour(timestamp), isodow(timestamp)", ""))
+def _(spark, folder):
+    return build_features(stored_game_events(spark, folder), "self_label", allow_fanout=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playtrace.checks.histories import CALENDAR, LAGGED, PLACE, TITLE_MEANS, feature_sql, pick, steps_of
 from playtrace.checks.registry import query
@@ -90,6 +91,15 @@ def _(spark, folder):
     return J.json_expand(events, "event_data", prefix="field_")
 
 
+@query("n1_json_expand_typed", on_log(
+    f"SELECT {KEYS}, event_count, CAST(json_extract_string(event_data, '$.correct') AS BOOLEAN) AS correct, "
+    "CAST(json_extract_string(event_data, '$.duration') AS BIGINT) AS duration FROM ge"))
+def _(spark, folder):
+    schema = T.StructType([T.StructField("correct", T.BooleanType()), T.StructField("duration", T.LongType())])
+    events = game_events(spark, folder).select(*PLACE, "event_data")
+    return J.json_expand(events, "event_data", schema=schema).drop("event_data")
+
+
 @query("n2_json_field", on_log(
     f"SELECT {KEYS}, event_count, TRY_CAST(json_extract_string(event_data, '$.duration') AS BIGINT) AS duration FROM ge"))
 def _(spark, folder):

@@ -115,7 +115,7 @@ class NeighbourIndex:
 
         def block_neighbours(_, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(known):
-                return pd.DataFrame({"query": [], "id": [], "distance": [], "label": []})
+                return pd.DataFrame(columns=["query", "id", "distance", "label"], dtype=object)
             known = known.sort_values("id", kind="stable")
             matrix = np.stack(known["v"].to_numpy())
             picks, distances = [], []

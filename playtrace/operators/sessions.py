@@ -160,8 +160,10 @@ def title_measures(sessions: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFram
     return means.withColumn("overall_mean_accuracy", share)
 
 
-def with_session_measures(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
-    """Session totals, assessment totals and the assessment counter on every event.
+def with_session_measures(
+    events: DataFrame, log: EventLog = DEFAULT_LOG, onto: DataFrame | None = None
+) -> DataFrame:
+    """Session totals, assessment totals and the assessment counter on every event (or on the rows ``onto``).
 
     Aggregate and join back rather than a window: a hot session is then combined before the shuffle, and its
     events can be split by the adaptive skew join.
@@ -181,7 +183,7 @@ def with_session_measures(events: DataFrame, log: EventLog = DEFAULT_LOG) -> Dat
         only("session_events").alias("assessment_number_of_events"),
         only("assessments_played_counter").alias("assessments_played_counter"),
     )
-    return events.join(measures, log.keys, "inner")
+    return (events if onto is None else onto).join(measures, log.keys, "inner")
 
 
 def with_running_attempts(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
@@ -199,5 +201,5 @@ def with_running_attempts(events: DataFrame, log: EventLog = DEFAULT_LOG) -> Dat
 
 
 def prepare_events(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
-    """The event frame with flags, session measures and running attempts."""
-    return with_session_measures(with_running_attempts(events, log), log)
+    """The event frame with flags, session measures and running attempts, without the payload."""
+    return with_session_measures(events, log, onto=with_running_attempts(events, log))

@@ -11,6 +11,7 @@ from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.functions.scalars import is_assessment, strip_suffix_chars
 from playtrace.operators.sessions import SessionSteps, title_measures
 from playtrace.plans import blocks as B
+from playtrace.plans.calendar import calendar_rows
 
 HOURS, WEEKDAYS = list(range(24)), list(range(7))
 
@@ -105,23 +106,37 @@ def build_features(
     variant: str | Variant = "main",
     vocabulary: Vocabulary | None = None,
     log: EventLog = DEFAULT_LOG,
+    allow_fanout: bool = False,
 ) -> DataFrame:
     """Keys plus the variant's feature columns, one row per ended assessment session.
 
     The log is read for one hash aggregate to sessions and one filtered pass over attempts; both are written
     once. All histories then share a single layout by entity and one sort per order. No block joins are needed
     except with the per-title statistics, which have one row per title.
+
+    With ``allow_fanout`` a session has one row per distinct calendar value instead: within its smallest hour
+    of day, or over all its hours where the variant has the hour one-hot.
     """
-    return features_of(SessionSteps(events, log), variant, vocabulary)
+    chosen = VARIANTS[variant] if isinstance(variant, str) else variant
+    calendar = None
+    if allow_fanout:
+        parts = ["hour", "dayofweek"] if chosen.calendar_one_hot else list(chosen.calendar)
+        rows = calendar_rows(events, "all" if chosen.calendar_one_hot else "smallest_hour", log)
+        calendar = rows.select(*log.keys, *parts).distinct()
+    return features_of(SessionSteps(events, log), chosen, vocabulary, calendar)
 
 
 def features_of(
-    steps: SessionSteps, variant: str | Variant = "main", vocabulary: Vocabulary | None = None
+    steps: SessionSteps,
+    variant: str | Variant = "main",
+    vocabulary: Vocabulary | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """``build_features`` over sessions that are prepared already.
 
     Without a vocabulary the worlds and titles of these sessions are used; pass the one fitted on the training
-    log to give a test set the same columns.
+    log to give a test set the same columns. ``calendar`` replaces the calendar columns by its own rows, of
+    which a session may have several.
     """
     log = steps.log
     chosen = VARIANTS[variant] if isinstance(variant, str) else variant
@@ -135,11 +150,14 @@ def features_of(
     rows = B.run_blocks(scan, terminal).result().filter(F.col("terminal") & (F.col("role") == "assessment"))
 
     title = strip_suffix_chars(F.col(log.title), log.title_strip_chars)
-    calendar = B.calendar_columns(log)
+    if calendar is None:
+        rows = rows.withColumns(B.calendar_columns(log))
+    else:
+        rows = rows.join(calendar, log.keys, "inner")
     dummies = B.one_hot(F.col(log.world), vocabulary.worlds, "world_") | B.one_hot(title, vocabulary.titles, "title_")
     if chosen.calendar_one_hot:
-        dummies |= B.one_hot(calendar["hour"], HOURS, "hour_") | B.one_hot(calendar["dayofweek"], WEEKDAYS, "weekday_")
-    rows = rows.withColumns(calendar | dummies)
+        dummies |= B.one_hot(F.col("hour"), HOURS, "hour_") | B.one_hot(F.col("dayofweek"), WEEKDAYS, "weekday_")
+    rows = rows.withColumns(dummies)
 
     columns = _columns(chosen, list(dummies), log)
     if chosen.title_statistics:

@@ -99,6 +99,14 @@ def test_neighbours_are_exact_with_copies_and_small_blocks(spark, block, pivots)
     assert neighbour_votes(found).count() == len(got)
 
 
+def test_neighbours_with_text_ids(spark):
+    df = spark.createDataFrame([(f"r{i}", [float(i)], i % 2) for i in range(40)], "id string, v array<double>, label int")
+    found = nearest(df, df, 1, block_rows=5, pivots=6)
+    assert {r["v"][0]: r["id"] for r in found.collect()} == {float(i): f"r{i}" for i in range(40)}
+    with pytest.raises(ValueError):
+        nearest(df.filter("label > 5"), df, 1)
+
+
 def test_neighbours_with_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 0)], "id long, v array<double>, label int")
     assert nearest(df, df, 5).count() == 4
