@@ -15,6 +15,7 @@ from playtrace.operators import aggregates as A
 from playtrace.operators.metrics import compare_models
 from playtrace.plans import datasets as D
 from playtrace.plans.features import build_features
+from playtrace.runtime import materialize
 from playtrace.sources.activity import stored_game_events
 
 CLASSES = 4
@@ -226,10 +227,9 @@ CORRELATED = [c for c in HISTORY if c not in ("past_assessment_ag",)] + ["past_a
         f"AS r FROM (SELECT CAST({c} AS DOUBLE) AS x, CAST(accuracy_group AS DOUBLE) AS y FROM feat)) WHERE abs(r) > 0.05"
         for c in CORRELATED), *FEATURE_VIEWS))
 def _(spark, folder):
-    features = build_features(stored_game_events(spark, folder), "self_label")
-    table = A.feature_label_correlation(features, "accuracy_group", CORRELATED)
+    features = materialize(build_features(stored_game_events(spark, folder), "self_label"), "features")
     kept = A.keep_columns(features, A.correlated_features(features, "accuracy_group", 0.05, CORRELATED)).columns
-    return table.filter(F.col("feature").isin(kept))
+    return A.feature_label_correlation(features, "accuracy_group", kept)
 
 
 @query("m8_compare_trained_models")

@@ -153,10 +153,16 @@ def feature_label_correlation(df: DataFrame, label: str, features: list[str] | N
     return df.agg(*aggregates).select(F.explode(pairs).alias("p")).select("p.feature", "p.correlation")
 
 
-def correlated_features(df: DataFrame, label: str, threshold: float = 0.05, features: list[str] | None = None) -> list[str]:
+def strong_correlations(
+    df: DataFrame, label: str, threshold: float = 0.05, features: list[str] | None = None
+) -> DataFrame:
     """Features whose absolute correlation with the label exceeds ``threshold``; null correlations do not."""
-    table = feature_label_correlation(df, label, features)
-    kept = table.filter(F.abs("correlation") > threshold).select("feature").collect()  # one row per column
+    return feature_label_correlation(df, label, features).filter(F.abs("correlation") > threshold)
+
+
+def correlated_features(df: DataFrame, label: str, threshold: float = 0.05, features: list[str] | None = None) -> list[str]:
+    """Names of the strongly correlated features, in column order."""
+    kept = strong_correlations(df, label, threshold, features).select("feature").collect()  # one row per column
     names = {r["feature"] for r in kept}
     return [c for c in df.columns if c in names]
 

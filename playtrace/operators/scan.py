@@ -176,12 +176,15 @@ class OrderedScan:
             laid = df.repartitionByRange(chunks, *[F.col(c) for c in self.key], *self.order)
             # The partition number is only stable once written down.
             df = materialize(laid.withColumn(CHUNK, F.spark_partition_id()), "chunks")
-        self.df = df
+        self.df, self.staged = df, False
 
     def with_running(self, **measures: Running) -> "OrderedScan":
         """Add one column per measure; later calls may read the columns of earlier ones."""
         if self.chunked:
-            self.df = self._across_chunks(measures)
+            if self.staged:
+                # A further stage reads the one before twice, so that one is written down.
+                self.df = materialize(self.df, "chunks")
+            self.df, self.staged = self._across_chunks(measures), True
             return self
         spec = Window.partitionBy(*self.key).orderBy(*self.order)
         columns = {}
