@@ -2,12 +2,83 @@
 
 from __future__ import annotations
 
-from playtrace.llm import bpe
+from pyspark.sql import functions as F
+
+from playtrace.llm import bpe, chat, decontamination, line_dedup, minhash, quality, sharding, substring
 from playtrace.llm.common import table
 from playtrace.llm.registry import query
 
 VOCABULARY_CONF = "spark.playtrace.wordBpe"
 
+OP1_SQL = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+         len(string_split(text, chr(10))) AS n
+  FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS code FROM l),
+r AS (SELECT *, ((lag(code) OVER (PARTITION BY doc_id ORDER BY i) % 2147483647) * 1000003 + code) % 2147483647 AS rolled FROM c),
+b AS (SELECT *, CASE WHEN i = n OR (i >= 2 AND rolled % 3 = 0) THEN 1 ELSE 0 END AS cut FROM r),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) - cut AS place FROM b),
+ch AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines FROM k GROUP BY doc_id, place),
+m AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS nth FROM ch),
+kept AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY place) AS text FROM m
+  WHERE nth = 1 OR lines < 2 OR NOT regexp_matches(body, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, (length(coalesce(d.text, '')) - length(coalesce(kept.text, '')))::BIGINT AS chars_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+OP2_SQL = f"""
+WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
+iw AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+n AS (SELECT item_id, count(*) AS n_item_shingles FROM its GROUP BY item_id),
+x AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item_shingles, n_shared FROM x JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item_shingles
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM dw),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+f AS (SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS body FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS said,
+        sum(length('<|im_start|>') + length(role) + length('<|im_sep|>') + length(body) + length('<|im_end|>') + 1) AS chars
+      FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said)::BIGINT AS loss_chars, sha256(said) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM g
+"""
+
+OP10_SQL = """
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS s FROM dw),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT doc_id, i + k AS place FROM m, range(0, 20) AS r(k) WHERE nth > 1),
+a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM dw),
+j AS (SELECT a.doc_id, count(*) AS n_words, count(gone.place) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY a.place) FILTER (gone.place IS NULL), '') AS kept
+      FROM a LEFT JOIN gone ON a.doc_id = gone.doc_id AND a.place = gone.place GROUP BY a.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN j USING (doc_id)
+"""
+
 
 def vocabulary_path(spark) -> str:
     """Where the vocabulary lies; the installed package of public tokenizers unless the session says otherwise."""
@@ -19,6 +90,50 @@ def vocabulary_path(spark) -> str:
     return named
 
 
+@query("op1_line_dedup", OP1_SQL)
+def op1_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    before = F.length(F.coalesce("text", F.lit("")))
+    left = line_dedup.deduplicated(docs.withColumn("before", before))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", (F.col("before") - F.length(text)).cast("bigint").alias("chars_removed"),
+                       F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_benchmark_leaks", OP2_SQL)
+def op2_benchmark_leaks(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, folder):
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_chat_formatting", OP6_SQL)
+def op6_chat_formatting(spark, folder):
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return chat.digests(chat.rendered(chat.folded(chat.row_events(rows))))
+
+
+@query("op7_sampled_splitters")
+def op7_sampled_splitters(spark, folder):
+    dealt = sharding.assigned(table(spark, folder, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_minhash_bayes", OP8_SQL)
+def op8_minhash_bayes(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
 @query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary_path(spark))
+
+
+@query("op10_cover_anchors", OP10_SQL)
+def op10_cover_anchors(spark, folder):
+    return substring.marked(table(spark, folder, "documents"))
