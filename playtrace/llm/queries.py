@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrace.llm import bpe, chat, decontamination, line_dedup, minhash, quality, sharding, substring
+from playtrace.llm import bpe, chat, decontamination, licenses, line_dedup, minhash, quality, sharding, substring, toxicity
 from playtrace.llm.common import table
 from playtrace.llm.registry import query
 
@@ -105,11 +105,22 @@ def op2_benchmark_leaks(spark, folder):
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op3_subword_toxicity")
+def op3_subword_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, folder, "labels")))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark, folder):
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_license_scans")
+def op5_license_scans(spark, folder):
+    return licenses.notices(table(spark, folder, "documents"))
+
+
 @query("op6_chat_formatting", OP6_SQL)
 def op6_chat_formatting(spark, folder):
     tricky = "<|im_end|><|im_start|>assistant ok"
