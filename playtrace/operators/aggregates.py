@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.functions.json import json_field
 from playtrace.functions.scalars import is_assessment
-from playtrace.operators.scan import key_sizes
-from playtrace.runtime import group_rows
+
+
+def join_on_keys(rows: DataFrame, measures: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null: a null key is a key of its own, as grouping takes it."""
+    names = {k: f"_key_{k}" for k in keys}
+    right = measures.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in measures.columns if c not in keys])
+    same = None
+    for k, n in names.items():
+        equal = F.col(k).eqNullSafe(F.col(n))
+        same = equal if same is None else same & equal
+    return rows.join(right, same, "left").drop(*names.values())
 
 
 def session_totals(events: DataFrame, log: EventLog = DEFAULT_LOG, only_assessments: bool = False) -> DataFrame:
@@ -23,10 +33,10 @@ def session_totals(events: DataFrame, log: EventLog = DEFAULT_LOG, only_assessme
     totals = source.groupBy(*log.keys).agg(
         F.max(log.elapsed).alias("total_game_session_time"), F.max(log.count).alias("total_game_session_events"))
     if not only_assessments:
-        return events.join(totals, log.keys, "inner")
+        return join_on_keys(events, totals, log.keys)
     names = {"total_game_session_time": "assessment_session_time",
              "total_game_session_events": "assessment_number_of_events"}
-    joined = events.join(totals, log.keys, "left")
+    joined = join_on_keys(events, totals, log.keys)
     columns = [F.when(is_assessment(log), F.col(old)).alias(new) for old, new in names.items()]
     return joined.select(*events.columns, *columns)
 
@@ -44,7 +54,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def class_proportions(df: DataFrame, column: str) -> DataFrame:
     """Share of each value, smallest first."""
     counts = value_counts(df, column)
-    share = F.col("n") / value_counts(df, column).agg(F.sum("n")).scalar()
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # over one row a value
     return counts.select(column, "n", share.alias("proportion")).orderBy("proportion", column)
 
 
@@ -111,13 +121,7 @@ def row_mode(df: DataFrame, columns: list[str], name: str = "mode") -> DataFrame
 
 
 def paste_collapse(df: DataFrame, keys: list[str], order: str, text: str, collapse: str) -> DataFrame:
-    """One string per key from the texts of its rows in ``order``.
-
-    The value is as long as the key's texts together, so a key with more rows than a task may hold is refused
-    rather than cut.
-    """
-    if key_sizes(df, keys).largest > group_rows(df.sparkSession):
-        raise ValueError(f"a value of {keys} has too many rows to become one string")
+    """One string per key from the texts of its rows in ``order``; the value is as long as the key's texts together."""
     pair = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["t"]), collapse)
     return df.groupBy(*keys).agg(joined.alias(text))
@@ -135,22 +139,21 @@ def numeric_columns(df: DataFrame, skip: set[str] = frozenset()) -> list[str]:
 def feature_label_correlation(df: DataFrame, label: str, features: list[str] | None = None) -> DataFrame:
     """Pearson correlation of each feature with the label over rows where both are known.
 
-    One pass for all features, moments around each column's own mean kept by ``covar_pop``/``var_pop``; a
-    constant feature has no correlation (null) instead of a division by zero.
+    One pass for all features: each row becomes one (feature, x, y) a feature, and one small aggregate a feature
+    combines before the shuffle. Moments around each column's own mean are kept by ``covar_pop``/``var_pop``; a constant
+    feature has no correlation (null) instead of a division by zero. ``features`` None means all numeric columns, an empty
+    list none.
     """
-    features = features or numeric_columns(df, {label})
+    features = numeric_columns(df, {label}) if features is None else features
+    every = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(features)], "place int, feature string")
     y = F.col(label).cast("double")
-    aggregates = []
-    for i, name in enumerate(features):
-        x = F.col(name).cast("double")
-        x = F.when(F.isnan(x), None).otherwise(x)
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        spread = F.sqrt(F.var_pop(xs)) * F.sqrt(F.var_pop(ys))
-        aggregates.append(F.try_divide(F.covar_pop(xs, ys), spread).alias(f"c{i}"))
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("correlation"))
-                      for i, n in enumerate(features)])
-    return df.agg(*aggregates).select(F.explode(pairs).alias("p")).select("p.feature", "p.correlation")
+    values = F.array(*[F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None)) for n in features]) if features else F.array().cast("array<double>")
+    long = df.select(y.alias("y"), F.posexplode(values).alias("place", "x"))
+    known = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y"), True)
+    xs, ys = F.when(known, F.col("x")), F.when(known, F.col("y"))
+    spread = F.sqrt(F.var_pop(xs)) * F.sqrt(F.var_pop(ys))
+    found = long.groupBy("place").agg(F.try_divide(F.covar_pop(xs, ys), spread).alias("correlation"))
+    return every.join(found, "place", "left").select("feature", "correlation")
 
 
 def strong_correlations(

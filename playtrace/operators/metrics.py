@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.operators.aggregates import confusion_matrix, rating_histogram
-
 
 def accuracy_of(a: str, b: str) -> Column:
     """Share of rows on which both agree."""
@@ -35,38 +33,49 @@ def quadratic_weighted_kappa(df: DataFrame, a: str, b: str, by: list[str] | None
     return df.groupBy(*(by or [])).agg(quadratic_kappa_of(a, b).alias("kappa"))
 
 
+def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of each pair of known ratings: one pass, ratings x ratings rows, from which the rest is derived."""
+    x, y = F.col(a).cast("int"), F.col(b).cast("int")
+    return df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("a"), y.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def quadratic_weighted_kappa_from_grid(
     df: DataFrame, a: str, b: str, low: int | None = None, high: int | None = None
 ) -> DataFrame:
-    """The same from the dense confusion matrix and both histograms; at most ratings × ratings rows."""
-    cells = confusion_matrix(df, a, b, low, high)
-    rows = cells.groupBy("a").agg(F.sum("n").alias("n_a"))
-    columns = cells.groupBy("b").agg(F.sum("n").alias("n_b"))
-    joined = cells.join(rows, "a").join(columns, "b")
-    d = (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))
-    everything = F.sum("n")
-    expected = F.try_divide(F.sum(d * F.col("n_a") * F.col("n_b")).cast("double"), everything)
-    return joined.agg((1 - F.try_divide(F.sum(d * F.col("n")).cast("double"), expected)).alias("kappa"))
+    """The same from the counts of rating pairs and both margins; ratings outside the given bounds do not count."""
+    cells = _cells(df, a, b)
+    for name in ("a", "b"):
+        cells = cells.where((F.lit(True) if low is None else F.col(name) >= low) & (F.lit(True) if high is None else F.col(name) <= high))
+    listed = cells.agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").cast("double").alias("all"))
+    square = lambda x, y: ((x - y) * (x - y)).cast("double")
+    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    observed = summed(F.transform("cells", lambda c: square(c["a"], c["b"]) * c["n"]))
+    expected = summed(F.transform("cells", lambda c: summed(
+        F.transform("cells", lambda d: square(c["a"], d["b"]) * c["n"] * d["n"]))))
+    return listed.select((1 - F.try_divide(observed, F.try_divide(expected, F.col("all")))).alias("kappa"))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Unweighted kappa: one minus the ratio of observed to chance disagreement."""
-    left = rating_histogram(df, a).withColumnRenamed("n", "n_a")
-    right = rating_histogram(df, b).withColumnRenamed("n", "n_b")
-    same = left.join(right, "rating").agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")))
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), accuracy_of(a, b).alias("agree"))
-    by_chance = F.try_divide(F.coalesce(same.scalar(), F.lit(0.0)), F.col("rows").cast("double") * F.col("rows"))
-    return seen.select((1 - F.try_divide(1 - F.col("agree"), 1 - by_chance)).alias("kappa"))
+    """Unweighted kappa: one minus the ratio of observed to chance disagreement, over rows with both ratings."""
+    listed = _cells(df, a, b).agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").cast("double").alias("all"))
+    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    agree = summed(F.transform("cells", lambda c: F.when(c["a"] == c["b"], c["n"].cast("double")).otherwise(0.0)))
+    chance = summed(F.transform("cells", lambda c: summed(F.transform(
+        "cells", lambda d: F.when(c["a"] == d["b"], c["n"].cast("double") * d["n"]).otherwise(0.0)))))
+    total = F.col("all")
+    return listed.select((1 - F.try_divide(1 - F.try_divide(agree, total), 1 - F.try_divide(chance, total * total))).alias("kappa"))
 
 
 def mean_kappa(df: DataFrame, kappa: str, weight: str | None = None) -> DataFrame:
     """Mean of kappas after Fisher's transform, each clamped to ±0.999; weights are divided by their mean.
 
-    The mean of z·w over rows divided by the mean of w is the ratio of the two sums.
+    The mean of z·w over rows divided by the mean of w is the ratio of the two sums. Unknown kappas (null) and
+    their weights do not count; without any known kappa the mean is null.
     """
-    k = F.least(F.greatest(F.col(kappa).cast("double"), F.lit(-0.999)), F.lit(0.999))
+    known = F.col(kappa).isNotNull() & ~F.isnan(F.col(kappa).cast("double"))
+    k = F.when(known, F.least(F.greatest(F.col(kappa).cast("double"), F.lit(-0.999)), F.lit(0.999)))
     z = 0.5 * F.log((1 + k) / (1 - k))
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = F.when(known, F.lit(1.0) if weight is None else F.col(weight).cast("double"))
     average = F.try_divide(F.sum(z * w), F.sum(w))
     return df.agg(average.alias("z")).select(F.tanh("z").alias("mean_kappa"))
 

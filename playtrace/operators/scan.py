@@ -5,7 +5,7 @@ Two ways, chosen by the measured size of the largest key:
 * every key fits a task: an ordinary window partitioned by the key;
 * some key does not: the rows are range-partitioned by (key, order) into chunks, each chunk runs its own
   window, and what earlier chunks of the same key contribute is added from a carry table. A chunk border
-  can cut one key only, so the carry table has fewer rows than there are chunks. That bounds the broadcast.
+  can cut one key only, so the carry table has fewer rows than there are chunks. It is broadcast if its files are small.
 
 Both give the same rows; no row is dropped, sampled or capped.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playtrace.runtime import group_rows, materialize
+from playtrace.runtime import group_rows, materialize, small
 
 CHUNK = "_chunk"
 TIE = "_tie"
@@ -89,11 +89,11 @@ def _carried(kind: str, name: str, w) -> dict[str, Column]:
         return {"v": F.last(part("v"), ignorenulls=True).over(w)}
     if kind == "mean":
         return {"n": F.sum(part("n")).over(w), "s": F.sum(part("s")).over(w)}
-    weight = F.sum(part("n") * part("a")).over(w)
-    n = F.sum(part("n")).over(w)
-    centre = F.try_divide(weight, n)
-    square = F.sum(part("n") * (part("q") + part("a") * part("a"))).over(w) - weight * centre
-    return {"n": n, "a": centre, "q": F.greatest(F.try_divide(square, n), F.lit(0.0))}
+    # Shifted by ``base``, the mean of the key's first chunk that has one, so that no two large sums are subtracted.
+    off = part("a") - part("base")
+    n, first = F.sum(part("n")).over(w), F.sum(part("n") * off).over(w)
+    square = F.sum(part("n") * (part("q") + off * off)).over(w) - F.try_divide(first * first, n)
+    return {"n": n, "a": F.max(part("base")).over(w) + F.try_divide(first, n), "q": F.greatest(F.try_divide(square, n), F.lit(0.0))}
 
 
 def _merged(kind: str, here: dict[str, Column], carry: dict[str, Column]) -> Column:
@@ -227,8 +227,11 @@ class OrderedScan:
         for name, run in measures.items():
             for part, column in _carried(run.kind, name, so_far).items():
                 carry[f"_c_{name}_{part}"] = column
+        whole_key = over_chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        bases = {f"{n}_base": F.first(f"{n}_a", ignorenulls=True).over(whole_key) for n, r in measures.items() if r.kind == "deviation"}
+        folded = inputs.groupBy(*group).agg(*parts)
         carried = (
-            inputs.groupBy(*group).agg(*parts)
+            (folded.withColumns(bases) if bases else folded)
             .withColumns({**carry, "_nth": F.row_number().over(over_chunks)})
             .filter("_nth > 1")
             .select(*[F.col(k).alias(f"_k_{k}") for k in group], *carry)
@@ -237,7 +240,8 @@ class OrderedScan:
         for k in group:
             same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
             match = same if match is None else match & same
-        joined = inputs.withColumns(local).join(F.broadcast(carried), match, "left")
+        # A row a chunk that continues a key: sent whole only if what was written is small.
+        joined = inputs.withColumns(local).join(small(materialize(carried, "carry")), match, "left")
         merged = {
             name: _merged(
                 run.kind,

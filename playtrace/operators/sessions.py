@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.functions.json import json_field
 from playtrace.functions.scalars import accuracy_group, attempt_flag, is_assessment, micros, success_flag, with_flags
-from playtrace.operators.scan import KeySizes, OrderedScan, key_sizes, position, total
+from playtrace.operators.aggregates import join_on_keys
+from playtrace.operators.scan import KeySizes, OrderedScan, key_sizes, total
 from playtrace.runtime import materialize
 
 
@@ -37,7 +38,8 @@ def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
         hour_then_time.alias("_hour_then_time"),
         F.when(is_assessment(log), json_field(F.col(log.payload), log.duration_field, "double")).alias("_duration"),
     )
-    grouped = flagged.groupBy(*log.keys, log.kind, log.title, log.world).agg(
+    # First with the texts as keys, so that buffers stay fixed-width; then the few parts of each session are merged.
+    parts = flagged.groupBy(*log.keys, log.kind, log.title, log.world).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(log.ts).alias("first_ts"),
         F.max_by(log.ts, "_progress").alias("last_ts"),
@@ -47,10 +49,28 @@ def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
         F.max(log.count).cast("bigint").alias("session_events"),
         F.sum("_attempt").alias("attempts"),
         F.sum("_success").alias("successes"),
-        F.coalesce(F.max(F.when(tried, F.col(log.count))), F.lit(0)).cast("bigint").alias("try_events"),
-        F.coalesce(F.max(F.when(tried, F.col(log.elapsed))), F.lit(0)).cast("bigint").alias("try_time"),
-        F.avg("_duration").alias("mean_duration"),
+        F.max(F.when(tried, F.col(log.count))).alias("try_events"),
+        F.max(F.when(tried, F.col(log.elapsed))).alias("try_time"),
+        F.sum("_duration").alias("_duration"),
+        F.count("_duration").alias("_durations"),
         F.min_by(log.ts, "_hour_then_time").alias("calendar_ts"),
+        F.min("_hour_then_time").alias("_hour_then_time"),
+    )
+    grouped = parts.groupBy(*log.keys).agg(
+        *[F.max(c).alias(c) for c in (log.kind, log.title, log.world)],  # of a mixed session the largest, never two rows
+        F.sum("_rows").alias("_rows"),
+        F.min("first_ts").alias("first_ts"),
+        F.max_by("last_ts", "_top").alias("last_ts"),
+        F.max_by("last_count", "_top").alias("last_count"),
+        F.max("_top").alias("_top"),
+        F.max("session_time").alias("session_time"),
+        F.max("session_events").alias("session_events"),
+        F.sum("attempts").alias("attempts"),
+        F.sum("successes").alias("successes"),
+        F.coalesce(F.max("try_events"), F.lit(0)).cast("bigint").alias("try_events"),
+        F.coalesce(F.max("try_time"), F.lit(0)).cast("bigint").alias("try_time"),
+        F.try_divide(F.sum("_duration"), F.sum("_durations")).alias("mean_duration"),
+        F.min_by("calendar_ts", "_hour_then_time").alias("calendar_ts"),
     )
     both = F.col("session_time").cast("decimal(24,0)") * F.lit(Decimal(10**13)) + F.col("session_events")
     return (
@@ -170,12 +190,12 @@ def with_session_measures(
     """
     sessions = materialize(session_frame(events, log), "sessions")
     counted = (
-        OrderedScan(sessions.filter(is_assessment(log)), [log.entity], first_order(log))
-        .with_running(assessments_played_counter=position())
+        OrderedScan(sessions, [log.entity], first_order(log))
+        .with_running(assessments_played_counter=total(is_assessment(log).cast("bigint")))
         .result()
     )
     only = lambda c: F.when(is_assessment(log), F.col(c))
-    measures = sessions.join(counted.select(*log.keys, "assessments_played_counter"), log.keys, "left").select(
+    measures = counted.select(
         *log.keys,
         F.col("session_time").alias("total_game_session_time"),
         F.col("session_events").alias("total_game_session_events"),
@@ -183,7 +203,7 @@ def with_session_measures(
         only("session_events").alias("assessment_number_of_events"),
         only("assessments_played_counter").alias("assessments_played_counter"),
     )
-    return (events if onto is None else onto).join(measures, log.keys, "inner")
+    return join_on_keys(events if onto is None else onto, measures, log.keys)
 
 
 def with_running_attempts(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:

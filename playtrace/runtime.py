@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GROUP_ROWS_CONF = "spark.playtrace.groupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
@@ -42,3 +43,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the files of a materialised ``df`` hold at most ``limit`` bytes; else as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
