@@ -7,7 +7,8 @@
 3. Within a bucket pairs are never listed. Each bucket names a centre, the member that meets most others over all its
    buckets, and members are compared with it. Links give components. A bucket whose members are then still in several
    components has its members outside the largest one compared with all of the other components, in blocks: two blocks
-   meet in one task, which reports for each text one link to each component of the other block. So a group of n copies
+   meet in one task, which reports for each text one link to each component of the other block; a pair that shares several
+   buckets is looked at in the first. So a group of n copies
    costs n comparisons when all are like the centre, and only the rest costs more; no pair of a bucket is left out.
 4. A comparison looks at the signatures in batches: after each, the posterior chance (flat prior, so a beta
    distribution) that the similarity reaches the threshold decides; below ``MISS`` the pair is dropped. Survivors are
@@ -38,7 +39,7 @@ from playtrace.llm.lexing import run_hashes, word_hashes
 PERMUTATIONS = 128
 ROWS = 4
 BATCH = 16
-MISS = 1e-9
+MISS = 1e-6
 BLOCK = 256
 
 _DRAWN = np.random.default_rng(20240229).integers(0, 1 << 32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
@@ -99,66 +100,70 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """(bucket, node, size) of the buckets that two or more texts share."""
+    """(bucket, band, node, size) of the buckets that two or more texts share."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS - 1)), lambda b: F.xxhash64(
         b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    each = distinct.select("node", F.explode(bands).alias("bucket"))
+    each = distinct.select("node", F.posexplode(bands).alias("band", "bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     return each.join(sizes, "bucket")
 
 
-def similar(probes: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (probe, member) that survive the batches; signatures as rows."""
+def similar(probe: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the block that survive all batches against one signature, and their matches."""
     bounds = least_matches(percent)
-    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(probes)), np.arange(len(block)), indexing="ij"))
-    matches = np.zeros(len(left), np.int32)
+    alive, matches = np.arange(len(block)), np.zeros(len(block), np.int32)
     for at in range(0, PERMUTATIONS, BATCH):
-        matches += (probes[left, at : at + BATCH] == block[right, at : at + BATCH]).sum(axis=1, dtype=np.int32)
-        alive = matches >= bounds[at + BATCH]
-        left, right, matches = left[alive], right[alive], matches[alive]
-    return left, right
+        matches = matches + (block[alive, at : at + BATCH] == probe[at : at + BATCH]).sum(axis=1, dtype=np.int32)
+        going = matches >= bounds[at + BATCH]
+        alive, matches = alive[going], matches[going]
+    return alive, matches
+
+
+def first_band(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first band on which each row agrees with a signature; a pair is compared in that band's bucket only."""
+    return (rows.reshape(len(rows), -1, ROWS) == probe.reshape(1, -1, ROWS)).all(axis=2).argmax(axis=1)
 
 
 def _links_of(frame: pd.DataFrame, width: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Verified links between the probes and the members of one block."""
+    """Verified links between the probes and the members of one block, the likeliest first."""
     probes, members = frame[frame["probe"]].reset_index(drop=True), frame[~frame["probe"]].reset_index(drop=True)
     if not len(probes) or not len(members):
         return []
     rows = lambda f: np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), -1)
-    one, other = rows(probes), rows(members)
+    one, other, sizes = rows(probes), rows(members), members["n_shingles"].to_numpy()
     sets: dict[bytes, np.ndarray] = {}
 
-    def full(row) -> np.ndarray:
-        if row.node not in sets:
-            sets[row.node] = shingles(word_hashes(row.text, lower=True), width)
-        return sets[row.node]
+    def full(node: bytes, text: str) -> np.ndarray:
+        if node not in sets:
+            sets[node] = shingles(word_hashes(text, lower=True), width)
+        return sets[node]
 
-    found = []
-    member_rows = list(members.itertuples(index=False))
-    groups = members["root"].to_numpy()
+    found, nodes, texts, groups = [], members["node"].tolist(), members["text"].tolist(), members["root"].tolist()
     for at, probe in enumerate(probes.itertuples(index=False)):
-        _, hits = similar(one[at : at + 1], other, percent)
+        hits, matches = similar(one[at], other, percent)
+        fits = (100 * np.minimum(sizes[hits], probe.n_shingles) >= percent * np.maximum(sizes[hits], probe.n_shingles))
+        if probe.band >= 0:
+            fits &= first_band(one[at], other[hits]) == probe.band
+        hits, matches = hits[fits], matches[fits]
         linked = set()
-        for k in hits:
-            row = member_rows[k]
-            if row.node == probe.node or groups[k] in linked or (probe.root is not None and groups[k] == probe.root):
+        for k in hits[np.argsort(-matches, kind="stable")].tolist():
+            if nodes[k] == probe.node or groups[k] is not None and (groups[k] in linked or groups[k] == probe.root):
                 continue
-            a, b = full(probe), full(row)
+            a, b = full(probe.node, probe.text), full(nodes[k], texts[k])
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= percent * (len(a) + len(b) - both):
-                found.append((probe.node, row.node))
-                if groups[k] is not None:
-                    linked.add(groups[k])
+                found.append((probe.node, nodes[k]))
+                linked.add(groups[k])
     return found
 
 
 def compared(places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) found in blocks; ``places`` has (block, node, probe, root), ``texts`` (node, text, signature)."""
+    """Links (a, b) found in blocks; ``places`` has (block, band, node, probe, root), ``texts`` what a node says."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_links_of(frame, width, percent), columns=["a", "b"])
 
-    full = places.join(texts, "node").select("block", "node", "probe", "root", "text", "signature")
+    full = places.join(texts, "node").select("block", "band", "node", "probe", "root", "text", "signature", "n_shingles")
     return full.groupBy("block").applyInPandas(run, "a binary, b binary")
 
 
@@ -171,37 +176,38 @@ def _star_places(members: DataFrame) -> DataFrame:
     placed = edges.join(counts, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
     blocks = placed.select(F.xxhash64("centre", "part").alias("block"), "node", F.lit(False).alias("probe"))
     probes = placed.select("centre", "part").distinct().select(F.xxhash64("centre", "part").alias("block"), F.col("centre").alias("node"), F.lit(True).alias("probe"))
-    return blocks.union(probes).withColumn("root", F.lit(None).cast("binary"))
+    return blocks.union(probes).withColumns({"root": F.lit(None).cast("binary"), "band": F.lit(-1)})
 
 
 def _rest_places(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Blocks of members outside their bucket's largest component, each met with all members of the bucket."""
     named = members.where("size > 2").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tally = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
-    split = tally.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("n_roots"), F.sum("n").alias("n"),
+    tally = named.groupBy("bucket", "band", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    split = tally.groupBy("bucket", "band").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("n_roots"), F.sum("n").alias("n"),
                                         F.bit_xor("who").alias("who")).where("n_roots > 1")
-    split = split.groupBy("who", "n", "main").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
+    split = split.groupBy("who", "n", "main").agg(F.min(F.struct("band", "bucket"))["bucket"].alias("bucket"))  # of equal buckets the first
     open_ = named.join(split.select("bucket", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), "n"), "bucket")
     part = lambda count: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(count / BLOCK)))
     sides = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / BLOCK)), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
     upto = lambda count: F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
-    probes = open_.where("root != main").select("bucket", "node", "root", part(F.col("n") - F.col("n_main")).alias("i"), F.explode(upto(sides[1])).alias("j"), F.lit(True).alias("probe"))
-    others = open_.select("bucket", "node", "root", F.explode(upto(sides[0])).alias("i"), part(F.col("n")).alias("j"), F.lit(False).alias("probe"))
-    return probes.union(others.select(probes.columns)).select(F.xxhash64("bucket", "i", "j").alias("block"), "node", "probe", "root")
+    probes = open_.where("root != main").select("bucket", "band", "node", "root", part(F.col("n") - F.col("n_main")).alias("i"), F.explode(upto(sides[1])).alias("j"), F.lit(True).alias("probe"))
+    others = open_.select("bucket", "band", "node", "root", F.explode(upto(sides[0])).alias("i"), part(F.col("n")).alias("j"), F.lit(False).alias("probe"))
+    return probes.union(others.select(probes.columns)).select(
+        F.xxhash64("bucket", "i", "j").alias("block"), "node", "probe", "root", "band")
 
 
 def _texts_of(active: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text, signature): one text for each node; a hash of the text tells rows with one doc_id apart."""
+    """(node, text, signature, n_shingles): one text for each node; a hash of the text tells rows with one doc_id apart."""
     own = rows.select(F.col("node").alias("n"), F.col("doc_id").alias("d"), "copy").distinct()
-    named = active.join(own, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "signature", "d", "copy")
+    named = active.join(own, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "signature", "n_shingles", "d", "copy")
     known = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("c"), "text")
-    return named.join(known, (F.col("copy") == F.col("c")) & F.col("d").eqNullSafe(F.col("k"))).select("node", "text", "signature").dropDuplicates(["node"])
+    return named.join(known, (F.col("copy") == F.col("c")) & F.col("d").eqNullSafe(F.col("k"))).select("node", "text", "signature", "n_shingles").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept, true for the smallest doc_id of its component."""
     rows = settle(sketched(docs, width), "sketches")
-    first = rows.where("n_shingles > 0").groupBy("node", "signature").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.where("n_shingles > 0").groupBy("node", "signature", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     distinct = settle(first, "distinct")
     members = settle(buckets(distinct), "buckets")
     texts = settle(_texts_of(members.select("node").distinct().join(distinct, "node"), rows, docs), "texts")
