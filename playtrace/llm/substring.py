@@ -86,6 +86,9 @@ def _passages(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """128-bit hashes of the passages at ``starts``, as two columns."""
     if not len(starts):
         return np.empty((0, 2), np.int64)
+    if 4 * len(starts) < len(words):  # few passages: hash those alone
+        at = starts[:, None] + np.arange(length)
+        return np.stack([run_hashes(words[at].T, length, seed)[0].view(np.int64) for seed in (1, 2)], axis=1)
     return np.stack([run_hashes(words, length, seed)[starts].view(np.int64) for seed in (1, 2)], axis=1)
 
 
@@ -100,8 +103,9 @@ def _candidates(joined: DataFrame, length: int) -> DataFrame:
         for frame in frames:
             for doc, text, single in zip(frame["doc"], frame["text"], frame["single"]):
                 words = word_hashes(text)
-                found = np.unique(_passages(words, candidate_starts(len(words), _singles(single), length), length), axis=0)
+                found = _passages(words, candidate_starts(len(words), _singles(single), length), length)
                 if len(found):
+                    found = found[np.unique(found[:, 0], return_index=True)[1]]  # within one text half the hash tells
                     yield pd.DataFrame({"doc": np.full(len(found), doc, np.int64), "h1": found[:, 0], "h2": found[:, 1]})
 
     return joined.mapInPandas(run, "doc bigint, h1 bigint, h2 bigint")
@@ -114,7 +118,7 @@ def removed_words(text: str | None, single, own, length: int) -> np.ndarray:
     steps = np.zeros(len(words) + 1, np.int32)
     if len(starts):
         codes = _passages(words, starts, length)
-        _, first = np.unique(codes, axis=0, return_index=True)
+        _, first = np.unique(codes[:, 0], return_index=True)
         stays = np.zeros(len(starts), bool)
         stays[first] = True  # the earliest in this document, and this document the earliest of all
         stays &= np.isin(codes[:, 0], np.asarray([] if own is None else own, np.int64))
