@@ -50,7 +50,8 @@ def quantiles(drawn: pd.DataFrame, columns: list[str], ranges: int) -> list[tupl
     if not len(sums):
         return []
     at = np.searchsorted(sums, sums[-1] * np.arange(1, ranges) / ranges)
-    return sorted({tuple(map(int, drawn.iloc[i][columns])) for i in at})
+    keys = drawn[columns].to_numpy(np.int64)[np.minimum(at, len(drawn) - 1)]  # without the weights: whole numbers stay exact
+    return sorted({tuple(row) for row in keys.tolist()})
 
 
 def range_of(splitters: list[tuple[int, int]]):
@@ -62,11 +63,12 @@ def range_of(splitters: list[tuple[int, int]]):
     def place_in(hashes: pd.Series, places: pd.Series) -> pd.Series:
         h, p = hashes.to_numpy(), places.to_numpy()
         low, high = np.searchsorted(heads, h, "left"), np.searchsorted(heads, h, "right")
+        found = low.copy()
         for first in np.unique(low[high > low]):  # keys with a splitter's own hash: their documents decide
             mine = (low == first) & (high > low)
             upto = high[mine][0]
-            low[mine] = first + np.searchsorted(tails[first:upto], p[mine], "right")
-        return pd.Series(low.astype(np.int32))
+            found[mine] = first + np.searchsorted(tails[first:upto], p[mine], "right")
+        return pd.Series(found.astype(np.int32))
 
     return place_in
 
