@@ -25,55 +25,66 @@ WINDOW = 2
 SPACING = 3
 BASE = 1_000_003
 PRIME = (1 << 31) - 1
+MEET = 1000  # occurrences of one chunk compared in one place
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` reads it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def line_codes(lines: Column) -> Column:
     """32 bits of each line's MD5: any engine can compute them."""
-    return F.transform(lines, lambda line: F.conv(F.substring(F.md5(F.encode(line, "UTF-8")), 1, 8), 16, 10).cast("bigint"))
+    return F.transform(lines, lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint"))
+
+
+def chunk_ends(codes: Column, window: int, spacing: int) -> Column:
+    """Numbers of the lines, from 1, after which a chunk ends."""
+
+    def cut(i: Column, c: Column) -> Column:
+        rolled = F.lit(0).cast("bigint")
+        for k in range(window):  # polynomial over the last lines
+            rolled = F.pmod(rolled * BASE + F.get(c, i - (window - k)), F.lit(PRIME))
+        return (i == F.size(c)) | ((i >= window) & (F.pmod(rolled, F.lit(spacing)) == 0))
+
+    return bound(codes, lambda c: F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: cut(i, c)))
 
 
-def with_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """``docs`` with ``chunks``: array of (place, n_lines, body, blank) of the lines of ``text``."""
-    rolled = lambda i: F.aggregate(  # noqa: E731  polynomial over the last lines
-        F.slice("codes", i - (window - 1), window), F.lit(0).cast("bigint"), lambda acc, c: F.pmod(acc * BASE + c, F.lit(PRIME)))
-    n = F.size("lines")
-    cut = lambda i: (i == n) | ((i >= window) & (F.pmod(rolled(F.greatest(i, F.lit(window))), F.lit(spacing)) == 0))
-    out = docs.withColumn("lines", F.split("text", "\n")).withColumn("codes", line_codes(F.col("lines")))
-    out = out.withColumn("ends", F.filter(F.sequence(F.lit(1), n), cut))
-    before = lambda place: F.when(place == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(place, F.lit(1))))
-    body = lambda e, place: F.array_join(F.slice("lines", before(place) + 1, e - before(place)), "\n")
-    chunks = F.transform("ends", lambda e, place: F.struct(
-        place.alias("place"), (e - before(place)).alias("n_lines"), body(e, place).alias("body")))
-    return out.withColumn("chunks", chunks).drop("lines", "codes", "ends")
+def chunks_of(text: Column, window: int = WINDOW, spacing: int = SPACING) -> Column:
+    """Array of (place, start, n_lines, body): the chunks of a text, lines counted from 0."""
 
+    def parts(lines: Column, ends: Column) -> Column:
+        start = lambda place: F.when(place == 0, F.lit(0)).otherwise(F.get(ends, place - 1))
+        return F.transform(ends, lambda e, place: F.struct(
+            place.alias("place"), start(place).alias("start"), (e - start(place)).alias("n_lines"),
+            F.array_join(F.slice(lines, start(place) + 1, e - start(place)), "\n").alias("body")))
 
-def _own(docs: DataFrame) -> DataFrame:
-    """Documents under names that no other column can clash with."""
-    return docs.select(F.col("doc_id").alias("__doc"), F.col("text"), F.xxhash64("text").alias("__copy"))
+    return bound(F.split(text, "\n"), lambda lines: bound(chunk_ends(line_codes(lines), window, spacing), lambda ends: parts(lines, ends)))
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """__doc, __copy, gone: places of chunks that an earlier, equal chunk makes superfluous."""
-    known = _own(docs.where(F.col("doc_id").isNotNull()))
-    usable = F.filter("chunks", lambda c: (c["n_lines"] >= 2) & c["body"].rlike(r"[^\x20\x09-\x0D]"))
-    brief = F.transform(usable, lambda c: F.struct(F.xxhash64(c["body"]).alias("code"), c["place"].alias("place")))
-    seen = with_chunks(known, window, spacing).select("__doc", "__copy", F.explode(brief).alias("c"))
-    seen = settle(seen.select("__doc", "__copy", "c.code", "c.place").distinct(), "chunks")  # repeats of a row count once
+    """__doc, __copy, gone: (start, n_lines) of the chunks that an earlier, equal chunk makes superfluous."""
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__doc"), "text", F.xxhash64("text").alias("__copy"))
+    usable = F.filter(chunks_of(F.col("text"), window, spacing), lambda c: (c["n_lines"] >= 2) & c["body"].rlike(r"[^\x20\x09-\x0D]"))
+    brief = F.transform(usable, lambda c: F.struct(F.xxhash64(c["body"]).alias("code"), c["place"], c["start"], c["n_lines"]))
+    seen = known.select("__doc", "__copy", F.explode(brief).alias("c")).select("__doc", "__copy", "c.*").distinct()  # repeats of a row count once
+    seen = settle(seen, "chunks")
     totals = seen.groupBy("code").agg(F.count("*").alias("n"), F.min("__doc").alias("first_doc")).where("n > 1")
-    inside = seen.join(totals, "code").withColumn("in_first", F.col("__doc") == F.col("first_doc"))
-    places = inside.where("in_first").groupBy("code").agg(F.min(F.struct("place", "__copy")).alias("first"))
-    marked = settle(inside.select("__doc", "__copy", "code", "place", "in_first").join(places, "code").select(
-        "__doc", "__copy", "code", "place",
-        (F.col("in_first") & (F.struct("place", "__copy") == F.col("first"))).alias("stays")), "marked")
+    inside = seen.join(totals, "code")
+    firsts = inside.where("__doc = first_doc").groupBy("code").agg(F.min(F.struct("place", "__copy")).alias("first"))
+    stays = (F.col("__doc") == F.col("first_doc")) & (F.struct("place", "__copy") == F.col("first"))
+    marked = settle(inside.join(firsts, "code").select("__doc", "__copy", "code", "start", "n_lines", "n", stays.alias("stays")), "marked")
     # Byte comparison: the texts of marked chunks only, each with the one that stays.
-    wanted = marked.groupBy("__doc", "__copy").agg(F.collect_list(F.struct("place", "code", "stays")).alias("wanted"))
-    own = with_chunks(known.dropDuplicates(["__doc", "__copy"]).join(wanted, ["__doc", "__copy"]), window, spacing)
-    named = own.select("__doc", "__copy", "chunks", F.explode("wanted").alias("w")).select(
-        "__doc", "__copy", "w.place", "w.code", "w.stays", F.get("chunks", F.col("w.place"))["body"].alias("body"))
-    spread = F.pmod(F.xxhash64("__doc"), F.lit(16))  # the hottest chunk is compared in several tasks
-    stay = named.where("stays").select("code", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("part"))
-    equal = named.where("not stays").withColumn("part", spread).join(stay, ["code", "part"]).where(F.col("body") == F.col("kept_body"))
-    return settle(equal.groupBy("__doc", "__copy").agg(F.array_sort(F.collect_list("place")).alias("gone")), "gone")
+    mark = F.struct("start", "n_lines", "code", "n", "stays")
+    wanted = marked.groupBy("__doc", "__copy").agg(F.collect_list(mark).alias("wanted"))
+    own = known.join(wanted.hint("merge"), ["__doc", "__copy"])
+    named = own.select("__doc", "__copy", F.explode(bound(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: F.struct(
+        w["start"], w["n_lines"], w["code"], w["n"], w["stays"], F.array_join(F.slice(lines, w["start"] + 1, w["n_lines"]), "\n").alias("body"))))).alias("w"))
+    named = named.select("__doc", "__copy", "w.*", F.ceil(F.col("w.n") / MEET).alias("parts"))  # a hot chunk is compared in several places
+    stay = named.where("stays").select("code", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    go = named.where("not stays").withColumn("part", F.pmod(F.xxhash64("__doc", "start"), F.col("parts")))
+    equal = go.join(stay.distinct(), ["code", "part"]).where(F.col("body") == F.col("kept_body"))
+    return settle(equal.groupBy("__doc", "__copy").agg(F.collect_set(F.struct("start", "n_lines")).alias("gone")), "gone")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
@@ -81,8 +92,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING)
     gone = repeated_chunks(docs, window, spacing)
     whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("__row")
     own = docs.select(whole, F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__copy"))
-    hit = own.join(gone, ["__doc", "__copy"], "left").withColumn("text", F.when(F.col("gone").isNotNull(), F.col("__row")["text"]))
-    left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["place"]))
-    text = F.when(F.col("gone").isNull(), F.col("__row")["text"]).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
-    cut = with_chunks(hit, window, spacing).withColumn("text", text)
-    return cut.select(*[F.col("text") if n == "text" else F.col("__row")[n].alias(n) for n in docs.columns])
+    hit = own.join(gone.hint("merge"), ["__doc", "__copy"], "left")
+    places = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n_lines"] - 1)))
+    kept = bound(F.split(F.col("__row")["text"], "\n"), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("__row")["text"]).otherwise(kept)
+    return hit.select(*[text.alias(n) if n == "text" else F.col("__row")[n].alias(n) for n in docs.columns])
