@@ -117,10 +117,9 @@ def _shares(grams: np.ndarray, owner: np.ndarray, whole: np.ndarray, weights: np
     return (weight / np.bincount(owner, minlength=len(whole)))[owner], weight
 
 
-def _telling(present: list, y: np.ndarray) -> np.ndarray:
+def _telling(present: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Buckets whose presence goes with the class, by the chi-square of the two-by-two table; all others embed as zero."""
-    count = lambda kind: np.bincount(np.concatenate([c for c, k in zip(present, y) if k == kind]), minlength=BUCKETS).astype(float)
-    n1, n0, with1, with0 = (y == 1).sum(), (y == 0).sum(), count(1), count(0)
+    n1, n0, (with0, with1) = (y == 1).sum(), (y == 0).sum(), present
     n, seen = n1 + n0, with1 + with0
     square = n * (with1 * (n0 - with0) - with0 * (n1 - with1)) ** 2 / np.maximum(n1 * n0 * seen * (n - seen), 1)
     return np.flatnonzero((square > TELLING) & (seen >= SEEN))
@@ -132,19 +131,21 @@ def trained(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return ToxicityModel(np.zeros(BUCKETS), np.ones(BUCKETS), 50.0 if share else -50.0)
-    parts = [grams_of(t) for t in texts]
-    spread = np.zeros(BUCKETS)
-    for _, _, whole in parts:
+    spread, present = np.zeros(BUCKETS), np.zeros((2, BUCKETS))
+    for text, kind in zip(texts, y):  # a text's n-grams are counted and let go; below only the telling ones are kept
+        grams, _, whole = grams_of(text)
         spread[np.unique(whole)] += 1
+        present[kind, np.unique(grams)] += 1
     weights = COMMON / (COMMON + np.maximum(spread - 1, 0) / len(texts))
-    used = _telling([np.unique(grams) for grams, _, _ in parts], y)
+    used = _telling(present, y)
     place, known = np.full(BUCKETS, -1), np.zeros(BUCKETS, bool)
     place[used], known[used] = np.arange(len(used)), True
     rows = []
-    for grams, owner, whole in parts:
+    for text in texts:
+        grams, owner, whole = grams_of(text)
         share_of, weight = _shares(grams, owner, whole, weights, known)
         mine = known[grams]
-        rows.append((place[grams[mine]], share_of[mine] / max(weight.sum(), 1e-12)))
+        rows.append((place[grams[mine]].astype(np.int32), share_of[mine] / max(weight.sum(), 1e-12)))
 
     rng = np.random.default_rng(seed)
     values = {"table": rng.normal(0, 0.1, (len(used), DIMENSIONS)), "softmax": rng.normal(0, 0.1, (DIMENSIONS, 2)), "bias": np.zeros(2)}
