@@ -34,7 +34,7 @@ def _(spark, folder):
     events = game_events(spark, folder)
     path = new_path(spark, "log-csv")
     S.write_csv(events.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")), path)
-    back = S.read_event_log(spark, path)
+    back = S.read_event_log(spark, path, kind="csv")
     text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at_text")
     return back.select(*[c.strip() for c in LOG_COLUMNS.split(",")], text)
 
@@ -52,7 +52,7 @@ def labels_of(spark, folder):
 def _(spark, folder):
     path = new_path(spark, "labels-csv")
     S.write_csv(labels_of(spark, folder), path)
-    return S.read_labels(spark, path)
+    return S.read_labels(spark, path, kind="csv")
 
 
 @query("s3_read_feature_matrix", on_terminal(

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrace.checks.histories import FEATURE_VIEWS, on_all
-from playtrace.checks.registry import query
+from playtrace.checks.histories import FEATURE_VIEWS, feature_columns_sql, on_all
+from playtrace.checks.registry import plain_types, query
 from playtrace.config import DEFAULT_LOG as LOG
 from playtrace.models import combined as C
 from playtrace.models import learners as E
 from playtrace.models import selection as P
-from playtrace.models.neighbours import NeighbourLearner, nearest, neighbour_votes
+from playtrace.models.neighbours import nearest, neighbour_votes
 from playtrace.operators import aggregates as A
 from playtrace.operators.metrics import compare_models
 from playtrace.plans import datasets as D
@@ -31,10 +31,6 @@ def game_sets(spark, folder, columns: list[str] | None = None):
     return both.filter("part = 'train'").drop("part"), both.filter("part = 'test'").drop("part"), names
 
 
-HISTORY = ["past_assessment_ag", "cummean_ag", "zeros", "ones", "twos", "threes", "past_total_attempts", "total_time_spent",
-           "assessments_played", "total_games_played"]
-
-
 def predicted(model, test):
     return model.predict(test).select(*LOG.keys, F.col("label").cast("int"), F.col("prediction").cast("int"))
 
@@ -52,38 +48,38 @@ def _(spark, folder):
 
 @query("t2_boosted_trees")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(E.boosted_trees(3, 3).fit(train), test)
 
 
 @query("t3_decision_tree")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(E.decision_tree(6).fit(train), test)
 
 
 @query("t4_logistic_regression")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(E.logistic(30).fit(train), test)
 
 
 @query("t5_bagged_trees")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(E.bagged_trees(10, 6).fit(train), test)
 
 
 @query("t6_adaptive_boosting")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(C.AdaptiveBoosting(CLASSES, rounds=5).fit(train), test)
 
 
 @query("t7_perceptron")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
-    return predicted(E.perceptron(len(HISTORY), CLASSES, 100, 30).fit(train), test)
+    train, test, names = game_sets(spark, folder)
+    return predicted(E.perceptron(len(names), CLASSES, 100, 30).fit(train), test)
 
 
 def neighbour_sql(k: int) -> str:
@@ -108,7 +104,7 @@ def _(spark, folder):
 
 @query("t9_ordinal_classifier")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return predicted(C.OrdinalLearner(E.forest(5, 5), CLASSES).fit(train), test)
 
 
@@ -153,23 +149,23 @@ def _(spark, folder):
 
 @query("t10_voting_models")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     members = [E.forest(5, 5).fit(train), E.decision_tree(4).fit(train), E.logistic(20).fit(train)]
     return predicted(C.VotingModel(members, CLASSES, [1.0, 1.0, 1.0]), test)
 
 
 @query("t11_resample_and_vote")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
-    voted = C.resample_and_vote(train, test, E.forest(10, 6), LOG.keys, rounds=3)
-    return voted.select(*LOG.keys, "pred_0", "pred_1", "pred_2", F.col("prediction").cast("int"))
+    train, test, _ = game_sets(spark, folder)
+    voted = C.resample_and_vote(train, test, E.forest(3, 4), LOG.keys, rounds=40)
+    return voted.select(*LOG.keys, *[f"pred_{i}" for i in range(40)], F.col("prediction").cast("int"))
 
 
 @query("t12_stacking")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
-    bases = [E.decision_tree(5), NeighbourLearner(CLASSES, LOG.session), E.bagged_trees(3, 5), E.forest(5, 5)]
-    return predicted(C.StackedLearner(bases, LOG.keys, folds=2).fit(train), test)
+    train, test, _ = game_sets(spark, folder)
+    bases = [E.decision_tree(4), E.bagged_trees(3, 4), E.forest(3, 4)]
+    return predicted(C.StackedLearner(bases, LOG.keys, folds=10).fit(train), test)
 
 
 def fitted_importances(spark, folder):
@@ -194,47 +190,44 @@ def _(spark, folder):
 
 @query("t14_recursive_elimination")
 def _(spark, folder):
-    train, _, names = game_sets(spark, folder, HISTORY)
+    train, _, names = game_sets(spark, folder)
     return P.eliminate(train, names, 3, E.forest(5, 5)).table(spark)
 
 
 @query("t15_elimination_sweep")
 def _(spark, folder):
-    train, test, names = game_sets(spark, folder, HISTORY)
+    train, test, names = game_sets(spark, folder)
     table, best = P.elimination_sweep(train, test, names, E.forest(5, 5))
     return table.withColumn("is_best", F.col("n_features") == best)
 
 
 @query("t16_tree_count_sweep")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     return P.tree_count_sweep(train, test, largest=10, depth=5)
 
 
 @query("t17_random_search")
 def _(spark, folder):
-    train, _, _ = game_sets(spark, folder, HISTORY)
+    train, _, _ = game_sets(spark, folder)
     grid = {**P.SEARCH_GRID, "numTrees": [2, 4, 6], "maxDepth": [3, 5]}
     return P.random_search(train, draws=3, folds=3, grid=grid)[0]
 
 
-CORRELATED = [c for c in HISTORY if c not in ("past_assessment_ag",)] + ["past_assessment_ag", "total_level"]
-
-
 @query("t18_correlation_filter", on_all(
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(r, 6) AS correlation FROM (SELECT covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) "
-        f"AS r FROM (SELECT CAST({c} AS DOUBLE) AS x, CAST(accuracy_group AS DOUBLE) AS y FROM feat)) WHERE abs(r) > 0.05"
-        for c in CORRELATED), *FEATURE_VIEWS))
+    "SELECT feature, round(r, 6) AS correlation FROM (SELECT feature, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r "
+    "FROM wide UNPIVOT INCLUDE NULLS (x FOR feature IN (COLUMNS(* EXCLUDE (y)))) GROUP BY feature) WHERE abs(r) > 0.05",
+    *FEATURE_VIEWS, f"\nsel AS (SELECT {feature_columns_sql('self_label')} FROM feat)",
+    "\nwide AS (SELECT CAST(COLUMNS(* EXCLUDE (accuracy_group)) AS DOUBLE), CAST(accuracy_group AS DOUBLE) AS y FROM sel)"))
 def _(spark, folder):
-    features = materialize(build_features(stored_game_events(spark, folder), "self_label"), "features")
-    kept = A.keep_columns(features, A.correlated_features(features, "accuracy_group", 0.05, CORRELATED)).columns
-    return A.feature_label_correlation(features, "accuracy_group", kept)
+    # Rounded as the views are, so that both engines correlate the same values.
+    features = materialize(plain_types(build_features(stored_game_events(spark, folder), "self_label")), "features")
+    return A.strong_correlations(features.drop(*LOG.keys), "accuracy_group", 0.05)
 
 
 @query("m8_compare_trained_models")
 def _(spark, folder):
-    train, test, _ = game_sets(spark, folder, HISTORY)
+    train, test, _ = game_sets(spark, folder)
     parts = []
     for name, learner in {"forest": E.forest(5, 5), "tree": E.decision_tree(5), "logistic": E.logistic(20)}.items():
         model = learner.fit(train)

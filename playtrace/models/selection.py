@@ -136,9 +136,10 @@ def random_search(
     grid = grid or SEARCH_GRID
     forest = RandomForestClassifier(seed=seed)
     pick = random.Random(seed)
-    settings = [{name: pick.choice(values) for name, values in grid.items()} for _ in range(draws)]
-    value = lambda name, v: min(v or MAX_DEPTH, MAX_DEPTH) if name == "maxDepth" else v
-    maps = [{forest.getParam(n): value(n, v) for n, v in s.items()} for s in settings]
+    value = lambda name, v: min(v or MAX_DEPTH, MAX_DEPTH) if name == "maxDepth" else v  # noqa: E731  as it is fitted
+    drawn = [{name: value(name, pick.choice(values)) for name, values in grid.items()} for _ in range(draws)]
+    settings = list({str(sorted(s.items(), key=str)): s for s in drawn}.values())  # equal settings are fitted once
+    maps = [{forest.getParam(n): v for n, v in s.items()} for s in settings]
     search = CrossValidator(
         estimator=forest, estimatorParamMaps=maps, evaluator=KappaEvaluator(), numFolds=folds, seed=seed,
         parallelism=parallelism)

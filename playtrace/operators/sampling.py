@@ -71,6 +71,8 @@ class ClassIndex:
         return drawn.join(self.rows, [label, "row_in_class"], "inner").select(*self.columns, "draw")
 
 
-def balanced_resample(df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42) -> DataFrame:
-    """One balanced resample of ``df``; see ``ClassIndex.draw``."""
-    return ClassIndex(materialize(df, "resample"), label, keys).draw(mode, seed)
+def balanced_resample(
+    df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42, max_classes: int = 10_000
+) -> DataFrame:
+    """One balanced resample of ``df``; see ``ClassIndex.draw``. Raises above ``max_classes``."""
+    return ClassIndex(materialize(df, "resample"), label, keys, max_classes).draw(mode, seed)

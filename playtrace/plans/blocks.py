@@ -188,8 +188,8 @@ def frequency_per_type(log: EventLog = DEFAULT_LOG, include_current: bool = True
         name: total(F.when(_ended() & (F.col(log.kind) == kind), F.lit(1).cast("bigint")), not include_current)
         for name, kind in names.items()
     }
-    start["total_games_played"] = total(F.when(_ended(), F.lit(1).cast("bigint")))
-    return Block(["total_games_played", *names], start, finish={n: _zero(n) for n in names})
+    start["total_games_played"] = total(F.when(_ended(), F.lit(1).cast("bigint")), not include_current)
+    return Block(["total_games_played", *names], start, finish={n: _zero(n) for n in ["total_games_played", *names]})
 
 
 def time_per_type(log: EventLog = DEFAULT_LOG, include_current: bool = True) -> Block:
@@ -233,14 +233,14 @@ def level_reached(log: EventLog = DEFAULT_LOG, include_current: bool = True) ->
     )
 
 
-def title_history(titles: list[str], log: EventLog = DEFAULT_LOG) -> Block:
+def title_history(titles: list[str], log: EventLog = DEFAULT_LOG, include_current: bool = True) -> Block:
     """Per title of the vocabulary: visits so far, time and events of earlier sessions, and the entity's past
     attempts and successes written under the session's own title. Needs ``running_attempts`` in the scan."""
     start, finish, outputs = {}, {}, []
     at = {t: _ended() & (F.col(log.title) == t) for t in titles}
     for title, here in at.items():
         name = slug(title)
-        start[f"visits_{name}"] = total(F.when(here, F.lit(1).cast("bigint")))
+        start[f"visits_{name}"] = total(F.when(here, F.lit(1).cast("bigint")), not include_current)
         start[f"cumulative_timespent_{name}"] = total(F.when(here, F.col("session_time")), before=True)
         start[f"cumulative_events_{name}"] = total(F.when(here, F.col("session_events")), before=True)
     outputs += list(start)

@@ -12,6 +12,7 @@ from playtrace.functions.scalars import is_assessment, strip_suffix_chars
 from playtrace.operators.sessions import SessionSteps, title_measures
 from playtrace.plans import blocks as B
 from playtrace.plans.calendar import calendar_rows
+from playtrace.runtime import materialize, small
 
 HOURS, WEEKDAYS = list(range(24)), list(range(7))
 
@@ -65,12 +66,15 @@ def distinct_values(df: DataFrame, column: str, max_values: int = 2000) -> list:
     return sorted(r[0] for r in found)
 
 
-def fit_vocabulary(events: DataFrame, log: EventLog = DEFAULT_LOG) -> Vocabulary:
-    """Worlds and stripped titles of the assessments; ``events`` may be the log or its session table."""
+def fit_vocabulary(events: DataFrame, log: EventLog = DEFAULT_LOG, max_values: int = 2000) -> Vocabulary:
+    """Worlds and stripped titles of the assessments; ``events`` may be the log or its session table.
+
+    Raises above ``max_values`` of either, see ``distinct_values``.
+    """
     assessments = events.filter(is_assessment(log))
     stripped = assessments.select(
         log.world, strip_suffix_chars(F.col(log.title), log.title_strip_chars).alias(log.title))
-    return Vocabulary(tuple(distinct_values(stripped, log.world)), tuple(distinct_values(stripped, log.title)))
+    return Vocabulary(tuple(distinct_values(stripped, log.world, max_values)), tuple(distinct_values(stripped, log.title, max_values)))
 
 
 def _columns(variant: Variant, dummies: list[str], log: EventLog) -> list[str]:
@@ -107,6 +111,7 @@ def build_features(
     vocabulary: Vocabulary | None = None,
     log: EventLog = DEFAULT_LOG,
     allow_fanout: bool = False,
+    include_current: bool = True,
 ) -> DataFrame:
     """Keys plus the variant's feature columns, one row per ended assessment session.
 
@@ -123,7 +128,7 @@ def build_features(
         parts = ["hour", "dayofweek"] if chosen.calendar_one_hot else list(chosen.calendar)
         rows = calendar_rows(events, "all" if chosen.calendar_one_hot else "smallest_hour", log)
         calendar = rows.select(*log.keys, *parts).distinct()
-    return features_of(SessionSteps(events, log), chosen, vocabulary, calendar)
+    return features_of(SessionSteps(events, log), chosen, vocabulary, calendar, include_current)
 
 
 def features_of(
@@ -131,12 +136,14 @@ def features_of(
     variant: str | Variant = "main",
     vocabulary: Vocabulary | None = None,
     calendar: DataFrame | None = None,
+    include_current: bool = True,
 ) -> DataFrame:
     """``build_features`` over sessions that are prepared already.
 
     Without a vocabulary the worlds and titles of these sessions are used; pass the one fitted on the training
     log to give a test set the same columns. ``calendar`` replaces the calendar columns by its own rows, of
-    which a session may have several.
+    which a session may have several. Totals by type and world and levels count the session itself unless
+    ``include_current`` is false.
     """
     log = steps.log
     chosen = VARIANTS[variant] if isinstance(variant, str) else variant
@@ -145,7 +152,7 @@ def features_of(
     first = [B.assessment_counter(), B.previous_accuracy(), B.past_assessment_time_events(),
              B.time_and_events_till_attempt(), B.previous_mean_duration()]
     terminal = [B.session_order(log), B.running_attempts(log), B.past_attempts_and_successes(log),
-                B.frequency_per_type(log), B.time_per_type(log), B.time_per_world(log), B.level_reached(log)]
+                *[b(log, include_current) for b in (B.frequency_per_type, B.time_per_type, B.time_per_world, B.level_reached)]]
     scan = steps.both_orders(lambda s: B.run_blocks(s, first))
     rows = B.run_blocks(scan, terminal).result().filter(F.col("terminal") & (F.col("role") == "assessment"))
 
@@ -162,7 +169,7 @@ def features_of(
     columns = _columns(chosen, list(dummies), log)
     if chosen.title_statistics:
         rows = rows.drop("mean_duration").withColumnRenamed("past_mean_duration", "mean_duration")
-        rows = rows.join(title_measures(steps.sessions, log), log.title, "inner")
+        rows = rows.join(small(materialize(title_measures(steps.sessions, log), "titles")), log.title, "inner")
         columns += [*TITLE_STATISTICS, "mean_duration"]
     if chosen.own_label:
         columns.append("accuracy_group")

@@ -34,20 +34,30 @@ PREDICTIONS_SCHEMA = T.StructType([
 ])
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
-    """CSV when the path says so (``.csv`` or a ``csv`` folder), parquet otherwise."""
+def _read(spark: SparkSession, path: str, schema: T.StructType | None, kind: str | None = None, multi_line: bool = True) -> DataFrame:
+    """``kind`` is csv or parquet; without it, CSV for a path that ends in ``.csv`` or ``.csv.gz``, else parquet.
+
+    A CSV field that does not fit its type, or a row with too few or too many fields, fails the read rather than becoming null.
+    ``multi_line`` lets quoted fields hold line breaks; such files are not split, so turn it off for large files without them.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if "csv" in path.rstrip("/").rsplit("/", 1)[-1]:
-        return reader.csv(path, header=True, quote='"', escape='"', multiLine=False)
+    if kind is None:
+        kind = "csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
+    if kind == "csv":
+        return reader.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
+    if kind != "parquet":
+        raise ValueError(f"no reader for {kind}")
     return reader.parquet(path)
 
 
-def read_event_log(spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA) -> DataFrame:
-    return _read(spark, path, schema)
+def read_event_log(
+    spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA, kind: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    return _read(spark, path, schema, kind, multi_line)
 
 
-def read_labels(spark: SparkSession, path: str, schema: T.StructType = LABELS_SCHEMA) -> DataFrame:
-    return _read(spark, path, schema)
+def read_labels(spark: SparkSession, path: str, schema: T.StructType = LABELS_SCHEMA, kind: str | None = None) -> DataFrame:
+    return _read(spark, path, schema, kind)
 
 
 def read_feature_matrix(
