@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import settle
+from playtrace.llm.common import bound, settle
 
 WINDOW = 2
 SPACING = 3
@@ -28,11 +28,6 @@ PRIME = (1 << 31) - 1
 MEET = 1000  # occurrences of one chunk compared in one place
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, also where ``use`` reads it for each element of an array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def line_codes(lines: Column) -> Column:
     """32 bits of each line's MD5: any engine can compute them."""
     return F.transform(lines, lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint"))

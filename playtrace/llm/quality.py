@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import settle, words_of
+from playtrace.llm.common import bound, settle, words_of
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -65,8 +65,8 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     """Hash buckets of the tokens and of the pairs of neighbouring tokens of a text."""
     tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     of = lambda code: F.pmod(code, F.lit(buckets)).cast("int")
-    pairs = F.zip_with(tokens, _shifted(tokens), lambda a, b: F.xxhash64(a, b))
-    return F.concat(F.transform(tokens, of), F.transform(F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))), of))
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: of(F.xxhash64(F.get(t, i - 1), F.get(t, i))))
+    return bound(tokens, lambda t: F.concat(F.transform(t, of), F.when(F.size(t) > 1, pairs(t)).otherwise(F.array().cast("array<int>"))))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
