@@ -48,17 +48,18 @@ def base_measures(text: Column, window: int = 8) -> list[tuple[str, Column]]:
     ]
 
 
-def _shifted(column: Column) -> Column:
-    return F.slice(column, F.lit(2), F.greatest(F.size(column) - 1, F.lit(0)))
-
-
 def _covered(runs: str, window: int) -> Column:
     """Words in runs that occur twice: sorted by hash, equal runs are neighbours; their starts, sorted, give the union."""
-    placed = F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = F.zip_with(placed, _shifted(placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda pair: pair.isNotNull()))))
-    following = F.concat(_shifted(starts), F.array(F.lit(2_000_000_000)))
-    return F.aggregate(F.zip_with(starts, following, lambda a, b: F.least(F.lit(window), b - a)), F.lit(0), lambda acc, n: acc + n)
+    placed = F.sort_array(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def twin(all_: Column, at: Column) -> Column:
+        same = lambda other: F.coalesce(F.get(all_, other)["h"] == F.get(all_, at)["h"], F.lit(False))
+        return same(at - 1) | same(at + 1)
+
+    places = lambda p: F.filter(F.transform(p, lambda x, at: F.when(twin(p, at), x["i"])), lambda i: i.isNotNull())
+    spans = lambda s: F.aggregate(F.transform(s, lambda i, at: F.least(  # noqa: E731  up to the next start, if that is near
+        F.lit(window), F.coalesce(F.get(s, at + 1) - i, F.lit(window)))), F.lit(0), lambda acc, n: acc + n)
+    return bound(placed, lambda p: bound(F.sort_array(places(p)), spans))
 
 
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
