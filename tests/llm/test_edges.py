@@ -82,13 +82,14 @@ def test_leaks_match_brute_force(spark, messy, messy_rows, nothing):
     text = dict(messy_rows)[1]
     items = items_of(spark, [(1, " ".join(text.split()[20:55])), (2, "too short"), (3, None), (None, text), (4, " ".join(text.upper().split()[:90])), (5, "")])
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(messy, items).collect()}
-    sets = lambda t: {tuple(words(t, True)[i : i + 5]) for i in range(len(words(t, True)) - 4)}
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = lambda t: runs(words(t, True))
     expected = set()
     for doc, body in messy_rows:
         for item, wanted in [(r["item_id"], sets(r["text"])) for r in items.collect()]:
             if doc is not None and item is not None and wanted and 100 * len(wanted & sets(body)) >= 80 * len(wanted):
                 expected.add((doc, item))
-    assert found == expected and (6, 1) not in found or found == expected
+    assert found == expected
     assert decontamination.leaks(nothing, items).count() == 0
     left = decontamination.without_leaks(messy, items)
     assert left.columns == messy.columns and {r["doc_id"] for r in left.collect()} == {d for d, _ in messy_rows} - {d for d, _ in expected}
