@@ -121,7 +121,7 @@ def similar(probe: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndar
 
 def first_band(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The first band on which each row agrees with a signature; a pair is compared in that band's bucket only."""
-    return (rows.reshape(len(rows), -1, ROWS) == probe.reshape(1, -1, ROWS)).all(axis=2).argmax(axis=1)
+    return (rows.reshape(len(rows), PERMUTATIONS // ROWS, ROWS) == probe.reshape(1, -1, ROWS)).all(axis=2).argmax(axis=1)
 
 
 def _links_of(frame: pd.DataFrame, width: int, percent: int) -> list[tuple[bytes, bytes]]:

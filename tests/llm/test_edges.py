@@ -154,6 +154,14 @@ def test_pruning_bounds_follow_the_posterior():
     assert bounds[0] == 0 and list(bounds) == sorted(bounds) and 70 < bounds[128] < 95
 
 
+def test_blocks_without_survivors():
+    import numpy as np
+
+    probe = np.arange(minhash.PERMUTATIONS, dtype=np.uint32)
+    assert minhash.first_band(probe, np.empty((0, minhash.PERMUTATIONS), np.uint32)).tolist() == []
+    assert minhash.first_band(probe, np.stack([probe, np.where(np.arange(len(probe)) < 4, 0, probe)])).tolist() == [0, 1]
+
+
 def brute_removed(rows, length):
     first, out = {}, {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
