@@ -20,13 +20,16 @@ def _progress(log: EventLog) -> Column:
     return F.col(log.elapsed).cast("decimal(24,0)") * F.lit(Decimal(10**13)) + F.col(log.count).cast("decimal(13,0)")
 
 
-def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
+def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG, merged: bool = False) -> DataFrame:
     """One row per session with everything the session-level operators need.
 
     All aggregates keep fixed-width buffers, so Spark combines them in hash maps before the shuffle: a session
     that holds a third of the log arrives as one partial row per map task. ``terminal`` tells whether some row
     has both the largest play time and the largest event counter; sessions without one are left out of the
     terminal-order operators, as in the original rules.
+
+    A session is taken to have one type, title and world. With ``merged`` a session that has several (or nulls beside
+    them) still becomes one row, by a second and much smaller aggregate over the keys alone; without it, one row for each.
     """
     hour_then_time = F.hour(log.ts).cast("bigint") * F.lit(10**17) + micros(events, log.ts)
     tried = F.col("_attempt") == 1
@@ -56,7 +59,9 @@ def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG) -> DataFrame:
         F.min_by(log.ts, "_hour_then_time").alias("calendar_ts"),
         F.min("_hour_then_time").alias("_hour_then_time"),
     )
-    grouped = parts.groupBy(*log.keys).agg(
+    whole = {"try_events": F.coalesce("try_events", F.lit(0)).cast("bigint"), "try_time": F.coalesce("try_time", F.lit(0)).cast("bigint"),
+             "mean_duration": F.try_divide("_duration", "_durations")}
+    grouped = parts.withColumns(whole).drop("_duration", "_durations", "_hour_then_time") if not merged else parts.groupBy(*log.keys).agg(
         *[F.max(c).alias(c) for c in (log.kind, log.title, log.world)],  # of a mixed session the largest, never two rows
         F.sum("_rows").alias("_rows"),
         F.min("first_ts").alias("first_ts"),
@@ -114,7 +119,7 @@ class SessionSteps:
     def __init__(self, events: DataFrame, log: EventLog = DEFAULT_LOG):
         self.log = log
         role = F.when(is_assessment(log), "assessment").otherwise("other")
-        sessions = session_frame(events, log).withColumns({"role": role, "step": F.lit(1)})
+        sessions = session_frame(events, log, merged=True).withColumns({"role": role, "step": F.lit(1)})
         attempts = attempt_rows(events, log).withColumns({"role": F.lit("attempt"), "step": F.lit(0)})
         self.table = materialize(sessions.unionByName(attempts, allowMissingColumns=True), "steps")
         self._sizes: KeySizes | None = None
@@ -188,7 +193,7 @@ def with_session_measures(
     Aggregate and join back rather than a window: a hot session is then combined before the shuffle, and its
     events can be split by the adaptive skew join.
     """
-    sessions = materialize(session_frame(events, log), "sessions")
+    sessions = materialize(session_frame(events, log, merged=True), "sessions")
     counted = (
         OrderedScan(sessions, [log.entity], first_order(log))
         .with_running(assessments_played_counter=total(is_assessment(log).cast("bigint")))
