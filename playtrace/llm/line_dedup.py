@@ -1,21 +1,29 @@
-"""Repeated multi-line chunks, cut where the lines themselves say so.
+"""Repeated passages of several lines: chunks cut where the lines themselves say so, or every pair of neighbouring lines.
+
+``deduplicated`` takes its pieces from ``chunks_of`` or, without loss, from ``pairs_of``.
 
 A rolling polynomial hash runs over the hashes of each ``WINDOW`` neighbouring lines; where it is a multiple of ``SPACING`` a
 chunk ends. A boundary thus hangs on the lines next to it alone: lines put in or left out elsewhere shift no other
 boundary, and a passage repeated in another document falls into the same chunks but for its two ends. Of chunks of two or
 more lines with at least one word, the first occurrence (smallest doc_id, then place) stays and all others go.
 
+Chunks are what the SQL of ``op1_line_dedup`` asks for. They miss the ends of a passage and most passages of two or three lines.
+Pairs miss nothing: each line of a run of two or more lines that came before (in an earlier document, or further up) goes, if the
+pair has a word. The first occurrence of a line never goes; a pair that stays may lose a line to another pair that came before.
+
 Occurrences are first matched by a 64-bit hash, without texts; then the texts of those that would go are compared byte by
 byte with the text of the one that stays; on a clash of hashes nothing goes. The first of a hash is found by aggregation,
 which combines before the shuffle, so a chunk in a third of all documents costs a row a task.
 
-Defined results: null texts stay null, empty texts empty; a document all of whose chunks went has an empty text and stays as a
+Defined results: of one line many times in a row the first two lines stay; null texts stay null, empty texts empty; a document all of whose chunks went has an empty text and stays as a
 row; rows without doc_id are left as they are and take no part; rows that share a doc_id are one document, told apart by a
 hash of their text: exact repeats of a row are each cut alike; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +65,21 @@ def chunks_of(text: Column, window: int = WINDOW, spacing: int = SPACING) -> Col
     return bound(F.split(text, "\n"), lambda lines: bound(chunk_ends(line_codes(lines), window, spacing), lambda ends: parts(lines, ends)))
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """__doc, __copy, gone: (start, n_lines) of the chunks that an earlier, equal chunk makes superfluous."""
+def pairs_of(text: Column) -> Column:
+    """Array of (place, start, n_lines, body): every two neighbouring lines; pieces overlap by one line."""
+
+    def pair(lines: Column, i: Column) -> Column:
+        body = F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1))
+        return F.struct(i.alias("place"), i.alias("start"), F.lit(2).alias("n_lines"), body.alias("body"))
+
+    starts = lambda lines: F.slice(F.sequence(F.lit(0), F.size(lines) - 1), F.lit(1), F.size(lines) - 1)
+    return bound(F.split(text, "\n"), lambda lines: F.transform(starts(lines), lambda i: pair(lines, i)))
+
+
+def repeated_chunks(docs: DataFrame, pieces: Callable[[Column], Column] = chunks_of) -> DataFrame:
+    """__doc, __copy, gone: (start, n_lines) of the pieces that an earlier, equal piece makes superfluous."""
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__doc"), "text", F.xxhash64("text").alias("__copy"))
-    usable = F.filter(chunks_of(F.col("text"), window, spacing), lambda c: (c["n_lines"] >= 2) & c["body"].rlike(r"[^\x20\x09-\x0D]"))
+    usable = F.filter(pieces(F.col("text")), lambda c: (c["n_lines"] >= 2) & c["body"].rlike(r"[^\x20\x09-\x0D]"))
     brief = F.transform(usable, lambda c: F.struct(F.xxhash64(c["body"]).alias("code"), c["place"], c["start"], c["n_lines"]))
     seen = known.select("__doc", "__copy", F.explode(brief).alias("c")).select("__doc", "__copy", "c.*").distinct()  # repeats of a row count once
     seen = settle(seen, "chunks")
@@ -76,15 +95,20 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACIN
     named = own.select("__doc", "__copy", F.explode(bound(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: F.struct(
         w["start"], w["n_lines"], w["code"], w["n"], w["stays"], F.array_join(F.slice(lines, w["start"] + 1, w["n_lines"]), "\n").alias("body"))))).alias("w"))
     named = named.select("__doc", "__copy", "w.*", F.ceil(F.col("w.n") / MEET).alias("parts"))  # a hot chunk is compared in several places
-    stay = named.where("stays").select("code", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    kept = F.struct("__doc", "__copy", "start").alias("kept")
+    stay = named.where("stays").select("code", F.col("body").alias("kept_body"), kept, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     go = named.where("not stays").withColumn("part", F.pmod(F.xxhash64("__doc", "start"), F.col("parts")))
     equal = go.join(stay.distinct(), ["code", "part"]).where(F.col("body") == F.col("kept_body"))
-    return settle(equal.groupBy("__doc", "__copy").agg(F.collect_set(F.struct("start", "n_lines")).alias("gone")), "gone")
+    # A piece that overlaps the one that stays leaves the lines of that one.
+    beside = (F.col("__doc") == F.col("kept.__doc")) & (F.col("__copy") == F.col("kept.__copy"))
+    first = F.when(beside, F.greatest("start", F.col("kept.start") + F.col("n_lines"))).otherwise(F.col("start"))
+    lines = F.struct(first.alias("start"), (F.col("start") + F.col("n_lines") - first).alias("n_lines"))
+    return settle(equal.groupBy("__doc", "__copy").agg(F.collect_set(lines).alias("gone")), "gone")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``; all rows and columns stay."""
-    gone = repeated_chunks(docs, window, spacing)
+def deduplicated(docs: DataFrame, pieces: Callable[[Column], Column] = chunks_of) -> DataFrame:
+    """``docs`` with repeated pieces cut out of ``text``; all rows and columns stay."""
+    gone = repeated_chunks(docs, pieces)
     whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("__row")
     own = docs.select(whole, F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__copy"))
     hit = own.join(gone.hint("merge"), ["__doc", "__copy"], "left")

@@ -78,6 +78,21 @@ def test_chunks_resist_shifts(spark):
     assert left[1] == "\n".join(lines) and left[2].startswith("a new first line") and left[2].count("\n") < 20
 
 
+def test_the_pipeline_cuts_whole_passages(spark):
+    from corpus_pipeline import cut_repeated_lines
+
+    rng = random.Random(9)
+    source = [sentence(rng, 6) for _ in range(40)]
+    rows = {1: source, 2: source[:20], 40: ["x y", "x y", "x y", "x y"], 41: ["only this", "x y", "x y"], 42: ["", "", ""], 43: ["", "", ""]}
+    for n in range(2, 13):
+        rows[10 + n] = [f"own head {n}", *source[n : 2 * n], f"own tail {n}", source[0]]
+    docs = spark.createDataFrame([(d, "\n".join(lines), 0) for d, lines in rows.items()], "doc_id bigint, text string, n_chars int").repartition(3)
+    left = {r["doc_id"]: r["text"] for r in cut_repeated_lines(spark, docs, "").collect()}
+    assert left[1] == "\n".join(source) and left[2] == "" and left[42] == left[43] == "\n\n"
+    assert left[40] == "x y\nx y" and left[41] == "only this"
+    assert [left[10 + n] for n in range(2, 13)] == [f"own head {n}\nown tail {n}\n{source[0]}" for n in range(2, 13)]
+
+
 def test_leaks_match_brute_force(spark, messy, messy_rows, nothing):
     text = dict(messy_rows)[1]
     items = items_of(spark, [(1, " ".join(text.split()[20:55])), (2, "too short"), (3, None), (None, text), (4, " ".join(text.upper().split()[:90])), (5, "")])
