@@ -1,6 +1,9 @@
 """Licence notices in documents: a trained paragraph classifier, a calibrated unknown class, and templates that confirm.
 
-Paragraphs are the lines of a text. A multinomial logistic regression with an elastic-net penalty over hashed words and word pairs tells
+Paragraphs are the lines of a text, and neighbouring lines that hold a wrapped notice together: of all joins of lines whose inner
+lines are no longer than the longest template, those that share ``ALIKE`` of a template's word pairs, of overlapping ones the one
+that shares ``CONFIRMED``, then most pairs, then fewest lines. A join stands for its lines, under the number of its first one; lines
+without words neither count nor part. Joins less like every template are judged line by line. A multinomial logistic regression with an elastic-net penalty over hashed words and word pairs tells
 licence families and ``none``. It is trained on variants of the templates below (each word left out in turn, the notice
 before or after a line of the corpus) and on lines of a bounded sample of ``SAMPLE`` documents, the first by a hash of
 doc_id, without those that share ``ALIKE`` of a template's word pairs.
@@ -21,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import settle
+from playtrace.llm.common import bound, settle
 
 SAMPLE = 400
 FEATURES = 1 << 14
@@ -55,10 +58,60 @@ def pairs_of(tokens: Column) -> Column:
     return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def known_pairs(tokens: Column, known: list[str]) -> Column:
+    """The distinct word pairs that some template has."""
+    return F.array_distinct(F.filter(pairs_of(tokens), lambda p: p.isin(known)))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), tokens of every line that has one."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    """doc_id, paragraph (number of its first line, from 0), tokens of every line or join of lines that has one."""
+    held = templates(docs.sparkSession).collect()  # as many rows as there are templates
+    patterns, longest = [r["template_pairs"] for r in held], max(len(r["template"]) for r in held)
+    known = sorted({p for pattern in patterns for p in pattern})
+    # No join of a text's lines is more like a template than the whole text is; few texts are like one.
+    like = bound(known_pairs(tokens_of(F.col("text")), known), lambda pairs: alike(pairs, patterns, ALIKE) > 0)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, n: F.struct(n.alias("paragraph"), tokens_of(line).alias("tokens"))),
+                     lambda line: F.size(line["tokens"]) > 0)
+    found = F.when(like, bound(lines, lambda ls: joined(ls, patterns, known, longest))).otherwise(lines)
+    return docs.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.paragraph", "p.tokens")
+
+
+def alike(pairs: Column, patterns: list[list[str]], bar: float) -> Column:
+    """Most pairs shared with a template of whose pairs at least ``bar`` are shared; 0 without one."""
+    same = [(F.size(F.array_intersect(pairs, F.array(*map(F.lit, p)))), len(p)) for p in patterns]
+    return F.greatest(*[F.when(n / size >= bar, n).otherwise(0) for n, size in same])
+
+
+def joined(lines: Column, patterns: list[list[str]], known: list[str], longest: int) -> Column:
+    """Array of (paragraph, tokens): ``lines``, where those that hold a wrapped notice together are one."""
+
+    def tokens(start: Column, n: Column) -> Column:
+        return F.flatten(F.transform(F.slice(lines, start + 1, n), lambda line: line["tokens"]))
+
+    def judged(start: Column, n: Column) -> Column:
+        return bound(known_pairs(tokens(start, n), known), lambda pairs: F.struct(
+            alike(pairs, patterns, CONFIRMED).alias("sure"), alike(pairs, patterns, ALIKE).alias("like"), (-n).alias("less"), (-start).alias("before")))
+
+    def joins(start: Column) -> Column:
+        inner = lambda n: F.aggregate(F.slice(lines, start + 2, F.greatest(n - 2, F.lit(0))), F.lit(0), lambda s, line: s + F.size(line["tokens"]))
+        sizes = F.filter(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(lines) - start)), lambda n: inner(n) <= longest - 2)
+        return F.filter(F.transform(sizes, lambda n: judged(start, n)), lambda j: j["like"] > 0)
+
+    def meets(a: Column, b: Column) -> Column:
+        return (-a["before"] < -b["before"] - b["less"]) & (-b["before"] < -a["before"] - a["less"])
+
+    def chosen(ranked: Column) -> Column:
+        return F.aggregate(ranked, F.filter(ranked, lambda _: F.lit(False)), lambda taken, j: F.when(
+            F.exists(taken, lambda t: meets(t, j)), taken).otherwise(F.concat(taken, F.array(j))))
+
+    def merged(whole: Column) -> Column:
+        first = F.filter(F.transform(lines, lambda _, k: k), lambda k: ~F.exists(whole, lambda j: (k > -j["before"]) & (k < -j["before"] - j["less"])))
+        n = lambda k: F.coalesce(-F.get(F.filter(whole, lambda j: -j["before"] == k), F.lit(0))["less"], F.lit(1))
+        return F.transform(first, lambda k: F.struct(F.get(lines, k)["paragraph"].alias("paragraph"), tokens(k, n(k)).alias("tokens")))
+
+    starts = F.transform(lines, lambda _, k: k)
+    ranked = F.sort_array(F.flatten(F.transform(starts, joins)), asc=False)
+    return bound(bound(ranked, lambda r: F.filter(chosen(r), lambda j: j["less"] < -1)), merged)
 
 
 def templates(spark: SparkSession) -> DataFrame:

@@ -323,6 +323,24 @@ def test_licences(spark, messy, nothing):
     assert licenses.notices(nothing, model, bar).count() == 0
 
 
+@pytest.mark.parametrize("width", [24, 60])
+def test_wrapped_licences(spark, messy, width):
+    import textwrap
+
+    rng = random.Random(3)
+    own, rows, expected = lambda: [sentence(rng, 7), sentence(rng, 9)], [], {}
+    for n, (family, notice) in enumerate(licenses.TEMPLATES):
+        lines = [f" * {line}" for line in textwrap.wrap(notice, width)]
+        rows.append((100 + n, "\n".join([*own(), "", *lines, *own()])))
+        expected[100 + n] = (3, family)
+    plain = messy.select("doc_id", "text")
+    docs = plain.union(spark.createDataFrame(rows, plain.schema))
+    model, bar = licenses.fitted(docs)
+    found = licenses.notices(docs, model, bar).where("doc_id >= 100").collect()
+    assert {r["doc_id"]: (r["paragraph"], r["family"]) for r in found if r["confirmed"]} == expected
+    assert len(found) == len(rows) and min(r["similarity"] for r in found) == 1.0
+
+
 def test_messy_documents_go_through_the_pipeline(spark, messy):
     import corpus_pipeline
 
