@@ -10,7 +10,7 @@ from playtrace.config import DEFAULT_LOG as LOG
 from playtrace.models import combined as C
 from playtrace.models import learners as E
 from playtrace.models import selection as P
-from playtrace.models.neighbours import nearest, neighbour_votes
+from playtrace.models.neighbours import NeighbourLearner, nearest, neighbour_votes
 from playtrace.operators import aggregates as A
 from playtrace.operators.metrics import compare_models
 from playtrace.plans import datasets as D
@@ -164,7 +164,7 @@ def _(spark, folder):
 @query("t12_stacking")
 def _(spark, folder):
     train, test, _ = game_sets(spark, folder)
-    bases = [E.decision_tree(4), E.bagged_trees(3, 4), E.forest(3, 4)]
+    bases = [E.decision_tree(5), NeighbourLearner(CLASSES, LOG.session), C.AdaptiveBoosting(CLASSES), E.bagged_trees(10, 5), E.forest(10, 5)]
     return predicted(C.StackedLearner(bases, LOG.keys, folds=10).fit(train), test)
 
 
