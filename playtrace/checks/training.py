@@ -73,7 +73,7 @@ def _(spark, folder):
 @query("t6_adaptive_boosting")
 def _(spark, folder):
     train, test, _ = game_sets(spark, folder)
-    return predicted(C.AdaptiveBoosting(CLASSES, rounds=5).fit(train), test)
+    return predicted(C.AdaptiveBoosting(CLASSES).fit(train), test)
 
 
 @query("t7_perceptron")
@@ -204,14 +204,13 @@ def _(spark, folder):
 @query("t16_tree_count_sweep")
 def _(spark, folder):
     train, test, _ = game_sets(spark, folder)
-    return P.tree_count_sweep(train, test, largest=10, depth=5)
+    return P.tree_count_sweep(train, test)
 
 
 @query("t17_random_search")
 def _(spark, folder):
     train, _, _ = game_sets(spark, folder)
-    grid = {**P.SEARCH_GRID, "numTrees": [2, 4, 6], "maxDepth": [3, 5]}
-    return P.random_search(train, draws=3, folds=3, grid=grid)[0]
+    return P.random_search(train)[0]
 
 
 @query("t18_correlation_filter", on_all(

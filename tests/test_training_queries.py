@@ -33,3 +33,10 @@ def test_the_stack_holds_all_base_learners(asked):
     assert learner.folds == 10 and isinstance(near, NeighbourLearner) and boosted.rounds == 50
     assert [m.estimator.getMaxDepth() for m in (tree, bagged, forest)] == [5, 5, 5]
     assert bagged.estimator.getNumTrees() == forest.estimator.getNumTrees() == 10
+
+
+def test_sweep_search_and_boosting_use_their_own_defaults(asked):
+    assert asked("t16_tree_count_sweep", T.P, "tree_count_sweep") == (("train", "test"), {})
+    assert asked("t17_random_search", T.P, "random_search") == (("train",), {})
+    (learner, train), _ = asked("t6_adaptive_boosting", T.C.AdaptiveBoosting, "fit")
+    assert learner.rounds == 50 and train == "train"
