@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from playtrace.config import DEFAULT_LOG, EventLog
 from playtrace.functions.json import json_field
@@ -54,8 +53,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def class_proportions(df: DataFrame, column: str) -> DataFrame:
     """Share of each value, smallest first."""
     counts = value_counts(df, column)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # over one row a value
-    return counts.select(column, "n", share.alias("proportion")).orderBy("proportion", column)
+    total = F.broadcast(counts.agg(F.sum("n").alias("_total")))  # one row
+    share = F.col("n") / F.col("_total")
+    return counts.crossJoin(total).select(column, "n", share.alias("proportion")).orderBy("proportion", column)
 
 
 def rating_grid(df: DataFrame, columns: list[str], low: int | None = None, high: int | None = None) -> DataFrame:

@@ -49,3 +49,11 @@ def test_unused_blocks_are_pruned(spark):
     steps = SessionSteps(stored_game_events(spark, FOLDER))
     plan = plan_of(features_of(steps, "main", fit_vocabulary(steps.sessions)).select("installation_id", "zeros"))
     assert "cumsd_time" not in plan and "time_spent_in" not in plan
+
+
+def test_class_proportions_use_no_window(spark):
+    from playtrace.operators.aggregates import class_proportions
+
+    shares = class_proportions(spark.createDataFrame([(1,), (1,), (None,), (2,)], "c int"), "c")
+    assert "Window" not in shares._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in shares.collect()] == [(None, 1, 0.25), (2, 1, 0.25), (1, 2, 0.5)]
