@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrace.llm import bpe, chat, decontamination, licenses, line_dedup, minhash, quality, sharding, substring, toxicity
+from playtrace.llm import bpe, chat, decontamination, licenses, line_dedup, merkle, minhash, quality, sharding, substring, toxicity
 from playtrace.llm.common import table
 from playtrace.llm.registry import query
 
@@ -79,6 +79,51 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN j USING (doc_id)
 """
 
+CRC = """(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+CLAIMED = f"CASE WHEN {CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf_sql('text')} AS leaf, {_leaf_sql(CLAIMED)} AS claimed FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(lang, level, place, n, digest) AS (
+  SELECT lang, 0, place, n, leaf FROM g
+  UNION ALL
+  SELECT lang, level + 1, place // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM t WHERE n > 1 GROUP BY lang, level, place // 8),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+h(level, place, n, digest) AS (
+  SELECT 0, place, n, subroot FROM s
+  UNION ALL
+  SELECT level + 1, place // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM h WHERE n > 1 GROUP BY level, place // 8),
+r AS (SELECT lang, level, place // 8 AS run, list(digest ORDER BY place) AS kids FROM t WHERE n > 1 GROUP BY ALL),
+hr AS (SELECT level, place // 8 AS run, list(digest ORDER BY place) AS kids FROM h WHERE n > 1 GROUP BY ALL),
+f(doc_id, lang, leaf, level, place, top, proof, node) AS (
+  SELECT doc_id, lang, leaf, 0, place, place, '', claimed FROM g
+  UNION ALL
+  SELECT doc_id, f.lang, leaf, f.level + 1, place // 8, top,
+    proof || array_to_string(kids[1:place % 8], '') || array_to_string(kids[place % 8 + 2:], ''),
+    sha256(array_to_string(kids[1:place % 8], '') || node || array_to_string(kids[place % 8 + 2:], ''))
+  FROM f JOIN r ON f.lang IS NOT DISTINCT FROM r.lang AND f.level = r.level AND f.place // 8 = r.run),
+k AS (SELECT * FROM f QUALIFY level = max(level) OVER (PARTITION BY lang)),
+e(doc_id, leaf, subroot, level, place, proof, node) AS (
+  SELECT doc_id, leaf, subroot, 0, s.place, proof, node FROM k JOIN s ON k.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT doc_id, leaf, subroot, e.level + 1, place // 8,
+    proof || array_to_string(kids[1:place % 8], '') || array_to_string(kids[place % 8 + 2:], ''),
+    sha256(array_to_string(kids[1:place % 8], '') || node || array_to_string(kids[place % 8 + 2:], ''))
+  FROM e JOIN hr ON e.level = hr.level AND e.place // 8 = hr.run)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM (SELECT * FROM e QUALIFY level = max(level) OVER ()) CROSS JOIN (SELECT digest AS root FROM h WHERE n = 1)
+"""
+
 
 def vocabulary_path(spark) -> str:
     """Where the vocabulary lies; the installed package of public tokenizers unless the session says otherwise."""
@@ -148,3 +193,8 @@ def op9_bpe_round_trip(spark, folder):
 @query("op10_cover_anchors", OP10_SQL)
 def op10_cover_anchors(spark, folder):
     return substring.marked(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark, folder):
+    return merkle.verified(table(spark, folder, "documents"))
