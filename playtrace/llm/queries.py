@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrace.llm import bpe, chat, decontamination, licenses, line_dedup, merkle, minhash, quality, sharding, substring, toxicity
+from playtrace.llm import bpe, chat, collocations, decontamination, language, licenses, line_dedup, merkle, minhash, quality, sharding, substring, toxicity
 from playtrace.llm.common import table
 from playtrace.llm.registry import query
 
@@ -79,6 +79,26 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN j USING (doc_id)
 """
 
+OP11_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS t(k)),
+f AS (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND f >= 100),
+inner_ AS (SELECT c.lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 5) AS t(m), range(1, 5) AS u(s)
+  WHERE m < words AND s + m - 1 <= words GROUP BY ALL),
+left_ AS (SELECT c.* FROM c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * a),
+k AS (SELECT x.lang, x.phrase, x.a, k, y.f AS l, z.f AS r, n.n, (1000 * x.a * n.n) // (y.f * z.f) AS score
+  FROM left_ x, range(1, 5) AS t(k), f y, f z, n
+  WHERE k < x.words AND y.lang = x.lang AND y.phrase = array_to_string(x.w[1:k], ' ') AND z.lang = x.lang AND z.phrase = array_to_string(x.w[k + 1:], ' ') AND n.lang = x.lang),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000
+"""
+
 CRC = """(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
   lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295))"""
 
@@ -198,3 +218,13 @@ def op10_cover_anchors(spark, folder):
 @query("op13_merkle_manifest", OP13_SQL)
 def op13_merkle_manifest(spark, folder):
     return merkle.verified(table(spark, folder, "documents"))
+
+
+@query("op11_phrase_stripes", OP11_SQL)
+def op11_phrase_stripes(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_language_mixtures")
+def op12_language_mixtures(spark, folder):
+    return language.languages(table(spark, folder, "documents")).drop("shares")
