@@ -39,21 +39,24 @@ PART_BYTES = 12 << 20
 UNKNOWN = "und"
 REST = ""  # stands for any other next word and for none; no word is empty
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BREAKS = np.zeros(256, bool)  # ends a piece
-_BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-_BLANKS = np.zeros(256, bool)  # ends a word
-_BLANKS[[0x20, 0x09]] = True
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+_WORD, _BLANK, _BREAK = 0, 1, 2  # in a word, between words, at the end of a piece
+_KIND = bytes(_BREAK if c in b".,;:!?\n\v\f\r" else _BLANK if c in b" \t" else _WORD for c in range(256))
 
 # --- a set of phrases in a fixed number of bits ---
 
 
 def text_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words; equal in every task."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    """64-bit hashes of distinct words (binary); equal in every task. Clashes only let more through to the exact count."""
+    words = words.cast(pa.large_binary())
+    _, bounds, data = words.buffers()
+    offsets = np.frombuffer(bounds, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    sizes = np.diff(offsets)
+    letters = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if len(words) and data else np.empty(0, np.uint8)
+    place = np.arange(len(letters)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix((letters.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)))]
+    ends = offsets - offsets[0]
+    return mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64))
 
 
 def extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -109,6 +112,10 @@ def bloom_of(phrases: DataFrame, bits: int) -> np.ndarray:
 # --- partial stripes of some texts ---
 
 
+def _breaks(raw: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(raw.tobytes().translate(_KIND), np.uint8) == _BREAK)
+
+
 def _joined(texts: pa.Array) -> Iterator[np.ndarray]:
     """Bytes of the texts, a line break between two, about ``PART_BYTES`` at a time and cut only where a piece ends."""
     held, size = [], 0
@@ -116,9 +123,9 @@ def _joined(texts: pa.Array) -> Iterator[np.ndarray]:
         raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
         at = 0
         while len(raw) - at > PART_BYTES:
-            ends = np.flatnonzero(_BREAKS[raw[at : at + PART_BYTES]])
+            ends = _breaks(raw[at : at + PART_BYTES])
             if not len(ends):  # no end of a piece so far: up to the next one, however far
-                later = np.flatnonzero(_BREAKS[raw[at + PART_BYTES :]])
+                later = _breaks(raw[at + PART_BYTES :])
                 ends = later[:1] + PART_BYTES if len(later) else np.array([len(raw) - at - 1])
             yield raw[at : at + ends[-1] + 1]
             at += int(ends[-1]) + 1
@@ -133,63 +140,87 @@ def _joined(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _pieces(raw: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(distinct-word number of each word, distinct words, words left in its piece from each word on)."""
-    raw = _LOWER[raw]
-    parted = _BREAKS[raw]
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~(parted | _BLANKS[raw])
-    edges = np.flatnonzero(np.diff(inside))
+    plain = raw.tobytes()
+    kind = np.frombuffer(plain.translate(_KIND), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    np.equal(kind, _WORD, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
-    letters = raw[inside[1:-1].view(bool)]
+    letters = np.frombuffer(plain.translate(_LOWER), np.uint8)[inside[1:-1]]
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    piece = np.searchsorted(np.flatnonzero(parted), starts)
+    piece = np.cumsum(kind == _BREAK, dtype=np.int32)[starts]
     last = np.flatnonzero(np.r_[piece[1:] != piece[:-1], True]) if len(piece) else np.empty(0, np.int64)
-    left = last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1
+    left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(starts)) + 1
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, left
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each value among the distinct ones, and these in order of appearance."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+
+
 def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Stripes of the prefixes of ``words`` words in ``texts``; ``known[k]`` holds the frequent phrases of k + 1 words."""
+    seed = text_hashes(pa.array([lang.encode()], pa.binary()))[0]
     for raw in _joined(texts):
         word, distinct, left = _pieces(raw)
         if not len(word):
             continue
-        hashed = text_hashes(distinct)
-        # Prefixes that are frequent, and whether what follows can be: both parts of the longer phrase must be.
-        at = np.arange(len(word)) if words == 0 else np.flatnonzero(left >= words)
-        seed = text_hashes(pa.array([lang.encode()]))[0]
-        prefix = np.full(len(at), seed, np.uint64)
-        for k in range(words):
-            prefix = extended(prefix, hashed[word[at + k]])
-            frequent = holds(known[k], prefix)
-            at, prefix = at[frequent], prefix[frequent]
-        follows = left[at] > words
-        following = np.where(follows, word[np.minimum(at + words, len(word) - 1)], -1)
-        if words:
-            suffix = np.full(int(follows.sum()), seed, np.uint64)
-            for k in range(1, words + 1):
-                suffix = extended(suffix, hashed[word[at[follows] + k]])
-            following[np.flatnonzero(follows)[~holds(known[words - 1], suffix)]] = -1
+        if words == 0:
+            at, following = np.arange(len(word)), word
+        else:
+            at, following = _frequent_prefixes(word, left, text_hashes(distinct), seed, words, known)
         # Exact numbers for prefixes: each word in turn makes the number of the prefix so far one of a smaller range.
-        number = np.zeros(len(at), np.int64)
-        for k in range(words):
-            number = np.unique(number * len(distinct) + word[at + k], return_inverse=True)[1] if k else word[at]
-        pair, first, often = np.unique(number * np.int64(len(distinct) + 1) + following + 1, return_index=True, return_counts=True)
-        owner = pair // (len(distinct) + 1)
+        number = word[at] if words else np.zeros(len(at), np.int64)
+        for k in range(1, words):
+            number, _ = _numbered(number * len(distinct) + word[at + k])
+        code, pair = _numbered(number * np.int64(len(distinct) + 1) + following + 1)
+        often = np.bincount(code, minlength=len(pair))
+        sample = np.empty(len(pair), np.int64)
+        sample[code] = at
+        order = np.argsort(pair)
+        pair, often, sample = pair[order], often[order], sample[order]
+        owner, then = pair // (len(distinct) + 1), pair % (len(distinct) + 1) - 1
         begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(pair) else np.empty(0, np.int64)
-        nexts = distinct.take(pa.array(np.maximum(following[first], 0))).cast(pa.binary())
-        nexts = pc.if_else(pa.array(following[first] >= 0), nexts, pa.scalar(REST.encode(), pa.binary())).cast(pa.string())
-        places = at[first[begins]]
+        nexts = distinct.take(pa.array(np.maximum(then, 0))).cast(pa.binary())
+        nexts = pc.if_else(pa.array(then >= 0), nexts, pa.scalar(REST.encode(), pa.binary())).cast(pa.string())
+        places = sample[begins]
         if words:
             parts = [distinct.take(pa.array(word[places + k])).cast(pa.binary()).cast(pa.string()) for k in range(words)]
-            texts_ = pc.binary_join_element_wise(*parts, " ")
+            prefixes = pc.binary_join_element_wise(*parts, " ")
         else:
-            texts_ = pa.array([""] * len(places), pa.string())
+            prefixes = pa.array([""] * len(places), pa.string())
         bounds = pa.array(np.r_[begins, len(pair)].astype(np.int32))
         entries = pa.StructArray.from_arrays([nexts, pa.array(often.astype(np.int64))], ["next", "n"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(places), pa.string()), texts_, pa.ListArray.from_arrays(bounds, entries)], ["lang", "prefix", "stripe"])
+            [pa.array([lang] * len(places), pa.string()), prefixes, pa.ListArray.from_arrays(bounds, entries)], ["lang", "prefix", "stripe"])
+
+
+def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of prefixes that are frequent, and the word after each, or -1 where the longer phrase ends or cannot be frequent."""
+    first = extended(np.full(len(hashed), seed, np.uint64), hashed)
+    common = holds(known[0], first)[word]
+    at = np.flatnonzero(common & (left >= words))
+    for k in range(1, words):
+        at = at[common[at + k]]
+    prefix = first[word[at]]
+    for k in range(1, words):
+        prefix = extended(prefix, hashed[word[at + k]])
+        frequent = holds(known[k], prefix)
+        at, prefix = at[frequent], prefix[frequent]
+    following = np.full(len(at), -1)
+    rows = np.flatnonzero(left[at] > words)
+    rows = rows[common[at[rows] + words]]
+    if words > 1:  # all but the first word must be frequent, too
+        suffix = first[word[at[rows] + 1]]
+        for k in range(2, words + 1):
+            suffix = extended(suffix, hashed[word[at[rows] + k]])
+        rows = rows[holds(known[words - 1], suffix)]
+    following[rows] = word[at[rows] + words]
+    return at, following
 
 
 # --- stripes of a corpus ---
