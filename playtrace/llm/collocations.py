@@ -9,8 +9,9 @@ an entry of another prefix; entries are grouped by their last words for it.)
 Prefixes grow one word a pass. Only phrases with both parts, all but the last word and all but the first, frequent can be frequent
 themselves, so entries whose parts are rare join the entry for *any other*. What is frequent is told to the tasks by a Bloom
 filter of a fixed number of bits: its mistakes let rare phrases through to the exact count, never lose any. Words are compared as text, not
-as hashes. Stripes of frequent prefixes may hold a large vocabulary, so a stripe is kept in parts by a checksum of the next word, which
-are counted as rows before they are put together; no task holds a whole one.
+as hashes. A partial stripe travels as one row: its prefix once, its next words and their counts side by side. Stripes of the empty prefix and
+of prefixes that occur ``HOT`` times or more may be fed by every task and hold a large vocabulary; they are dealt over ``STRIPE_PARTS`` by a hash of the
+next word, and entries are added as rows before they are put together, so no task holds a whole one.
 
 Everything is per language. Null texts and texts without words add nothing, null languages are ``und``, texts of any length are read
 piece by piece, repeated rows count each time, ties are settled by the order of the result. An empty table gives no rows. Further
@@ -34,8 +35,10 @@ LONGEST = 5
 OFTEN = 100
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 3
+HOT = 100_000
+HOT_BITS = 1 << 22
 STRIPE_PARTS = 64
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 UNKNOWN = "und"
 REST = ""  # stands for any other next word and for none; no word is empty
 
@@ -162,17 +165,21 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
 
 
-def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Stripes of the prefixes of ``words`` words in ``texts``; ``known[k]`` holds the frequent phrases of k + 1 words."""
+def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarray], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Stripes of the prefixes of ``words`` words in ``texts``: (lang, prefix, part, nexts, counts).
+
+    ``known[k]`` holds the frequent phrases of k + 1 words, ``hot`` the prefixes whose stripes are dealt over parts (without it all).
+    """
     seed = text_hashes(pa.array([lang.encode()], pa.binary()))[0]
     for raw in _joined(texts):
         word, distinct, left = _pieces(raw)
         if not len(word):
             continue
+        hashed = text_hashes(distinct)
         if words == 0:
-            at, following = np.arange(len(word)), word
+            at, following, prefix = np.arange(len(word)), word, None
         else:
-            at, following = _frequent_prefixes(word, left, text_hashes(distinct), seed, words, known)
+            at, following, prefix = _frequent_prefixes(word, left, hashed, seed, words, known)
         # Exact numbers for prefixes: each word in turn makes the number of the prefix so far one of a smaller range.
         number = word[at] if words else np.zeros(len(at), np.int64)
         for k in range(1, words):
@@ -181,10 +188,17 @@ def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarr
         often = np.bincount(code, minlength=len(pair))
         sample = np.empty(len(pair), np.int64)
         sample[code] = at
-        order = np.argsort(pair)
-        pair, often, sample = pair[order], often[order], sample[order]
         owner, then = pair // (len(distinct) + 1), pair % (len(distinct) + 1) - 1
-        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(pair) else np.empty(0, np.int64)
+        part = np.where(then >= 0, hashed[then] % np.uint64(STRIPE_PARTS), 0).astype(np.int64)
+        if hot is not None:
+            spread = np.zeros(len(word), bool)
+            spread[at] = holds(hot, prefix)
+            part *= spread[sample]
+        order = np.argsort(owner * STRIPE_PARTS + part, kind="stable")
+        often, sample, owner, then, part = often[order], sample[order], owner[order], then[order], part[order]
+        group = owner * STRIPE_PARTS + part
+        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+        bounds = pa.array(np.r_[begins, len(group)].astype(np.int32))
         nexts = distinct.take(pa.array(np.maximum(then, 0))).cast(pa.binary())
         nexts = pc.if_else(pa.array(then >= 0), nexts, pa.scalar(REST.encode(), pa.binary())).cast(pa.string())
         places = sample[begins]
@@ -193,14 +207,14 @@ def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarr
             prefixes = pc.binary_join_element_wise(*parts, " ")
         else:
             prefixes = pa.array([""] * len(places), pa.string())
-        bounds = pa.array(np.r_[begins, len(pair)].astype(np.int32))
-        entries = pa.StructArray.from_arrays([nexts, pa.array(often.astype(np.int64))], ["next", "n"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(places), pa.string()), prefixes, pa.ListArray.from_arrays(bounds, entries)], ["lang", "prefix", "stripe"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(places), pa.string()), prefixes, pa.array(part[begins].astype(np.int32)),
+            pc.binary_join(pa.ListArray.from_arrays(bounds, nexts), " "), pa.ListArray.from_arrays(bounds, pa.array(often.astype(np.int32)))],
+            ["lang", "prefix", "part", "nexts", "counts"])
 
 
-def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of prefixes that are frequent, and the word after each, or -1 where the longer phrase ends or cannot be frequent."""
+def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of prefixes that are frequent, the word after each (-1 where the longer phrase ends or cannot be frequent), and their hashes."""
     first = extended(np.full(len(hashed), seed, np.uint64), hashed)
     common = holds(known[0], first)[word]
     at = np.flatnonzero(common & (left >= words))
@@ -220,42 +234,44 @@ def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndar
             suffix = extended(suffix, hashed[word[at[rows] + k]])
         rows = rows[holds(known[words - 1], suffix)]
     following[rows] = word[at[rows] + words]
-    return at, following
+    return at, following, prefix
 
 
 # --- stripes of a corpus ---
 
 
-def stripes_of(docs: DataFrame, words: int, known: list[np.ndarray]) -> DataFrame:
+def stripes_of(docs: DataFrame, words: int, known: list[np.ndarray], hot: np.ndarray | None) -> DataFrame:
     """(lang, prefix, part, next -> n, total, top): stripes of all prefixes of ``words`` words, in parts by next word.
 
     ``total`` and ``top`` are of the part; entries below ``OFTEN`` count in ``total`` and are left out of the map.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(known)
+    spread = docs.sparkSession.sparkContext.broadcast((known, hot))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             for code, lang in enumerate(langs.dictionary.to_pylist()):
-                yield from partial_stripes(lang, batch.column(1).filter(pc.equal(langs.indices, code)), words, spread.value)
+                yield from partial_stripes(lang, batch.column(1).filter(pc.equal(langs.indices, code)), words, *spread.value)
 
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter(F.col("text").isNotNull())
-    partial = rows.mapInArrow(build, "lang string, prefix string, stripe array<struct<next:string,n:bigint>>")
-    added = partial.select("lang", "prefix", F.inline("stripe")).groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
-    part = (F.crc32(F.col("next").cast("binary")) % STRIPE_PARTS).alias("part")
+    partial = rows.mapInArrow(build, "lang string, prefix string, part int, nexts string, counts array<int>").repartition("lang", "prefix", "part")
+    entry = F.arrays_zip(F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))
+    added = partial.select("lang", "prefix", "part", F.inline(entry).alias("next", "n")).groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
     named = (F.col("next") != REST) & (F.col("n") >= OFTEN)
     entries = F.map_from_entries(F.collect_list(F.when(named, F.struct("next", "n"))))
-    return added.groupBy("lang", "prefix", part).agg(entries.alias("next"), F.sum("n").alias("total"), F.max(F.when(named, F.col("n"))).alias("top"))
+    return added.groupBy("lang", "prefix", "part").agg(entries.alias("next"), F.sum("n").alias("total"), F.max(F.when(named, F.col("n"))).alias("top"))
 
 
 def stripes(docs: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     """Stripes of the prefixes of 0 to ``LONGEST - 1`` words; one pass over the texts for each, written as it ends."""
-    known, levels = [], []
+    known, levels, hot = [], [], None
     for words in range(LONGEST):
-        level = settle(stripes_of(docs, words, known), "stripes")
+        level = settle(stripes_of(docs, words, known, hot), "stripes")
         levels.append(level.withColumn("words", F.lit(words)))
         if words < LONGEST - 1:
-            known.append(bloom_of(extensions(levels[-1]), bits))
+            frequent = extensions(levels[-1])
+            known.append(bloom_of(frequent, bits))
+            hot = bloom_of(frequent.filter(F.col("n") >= HOT), HOT_BITS)
     joint = levels[0]
     for level in levels[1:]:
         joint = joint.unionByName(level)
