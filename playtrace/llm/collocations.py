@@ -168,7 +168,8 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarray], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Stripes of the prefixes of ``words`` words in ``texts``: (lang, prefix, part, nexts, counts).
 
-    ``known[k]`` holds the frequent phrases of k + 1 words, ``hot`` the prefixes whose stripes are dealt over parts (without it all).
+    ``known`` holds the frequent words and the frequent phrases of ``words`` words, ``hot`` the prefixes whose stripes are dealt
+    over parts (without it all are).
     """
     seed = text_hashes(pa.array([lang.encode()], pa.binary()))[0]
     for raw in _joined(texts):
@@ -223,7 +224,8 @@ def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndar
     prefix = first[word[at]]
     for k in range(1, words):
         prefix = extended(prefix, hashed[word[at + k]])
-        frequent = holds(known[k], prefix)
+    if words > 1:
+        frequent = holds(known[1], prefix)
         at, prefix = at[frequent], prefix[frequent]
     following = np.full(len(at), -1)
     rows = np.flatnonzero(left[at] > words)
@@ -232,7 +234,7 @@ def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndar
         suffix = first[word[at[rows] + 1]]
         for k in range(2, words + 1):
             suffix = extended(suffix, hashed[word[at[rows] + k]])
-        rows = rows[holds(known[words - 1], suffix)]
+        rows = rows[holds(known[1], suffix)]
     following[rows] = word[at[rows] + words]
     return at, following, prefix
 
@@ -245,7 +247,8 @@ def stripes_of(docs: DataFrame, words: int, known: list[np.ndarray], hot: np.nda
 
     ``total`` and ``top`` are of the part; entries below ``OFTEN`` count in ``total`` and are left out of the map.
     """
-    spread = docs.sparkSession.sparkContext.broadcast((known, hot))
+    told = [known[0], known[-1]] if known else []
+    spread = docs.sparkSession.sparkContext.broadcast((told, hot))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
