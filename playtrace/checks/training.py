@@ -8,6 +8,7 @@ from playtrace.checks.histories import FEATURE_VIEWS, feature_columns_sql, on_al
 from playtrace.checks.registry import plain_types, query
 from playtrace.config import DEFAULT_LOG as LOG
 from playtrace.models import combined as C
+from playtrace.models import histograms as H
 from playtrace.models import learners as E
 from playtrace.models import selection as P
 from playtrace.models.neighbours import NeighbourLearner, nearest, neighbour_votes
@@ -157,15 +158,23 @@ def _(spark, folder):
 @query("t11_resample_and_vote")
 def _(spark, folder):
     train, test, _ = game_sets(spark, folder)
-    voted = C.resample_and_vote(train, test, E.forest(3, 4), LOG.keys, rounds=40)
+    voted = C.resample_and_vote(train, test, H.HistogramForest(CLASSES, 10, 6), LOG.keys, rounds=40)
     return voted.select(*LOG.keys, *[f"pred_{i}" for i in range(40)], F.col("prediction").cast("int"))
 
 
+def stack_bases():
+    return [H.HistogramTree(CLASSES, 5), NeighbourLearner(CLASSES, LOG.session), C.AdaptiveBoosting(CLASSES),
+            H.HistogramForest(CLASSES, 10, 5, "all"), H.HistogramForest(CLASSES, 10, 5)]
+
+
 @query("t12_stacking")
 def _(spark, folder):
     train, test, _ = game_sets(spark, folder)
-    bases = [E.decision_tree(5), NeighbourLearner(CLASSES, LOG.session), C.AdaptiveBoosting(CLASSES), E.bagged_trees(10, 5), E.forest(10, 5)]
-    return predicted(C.StackedLearner(bases, LOG.keys, folds=10).fit(train), test)
+    model = C.StackedLearner(stack_bases(), LOG.keys, folds=10).fit(train)
+    names = [f"base_{i}" for i in range(len(model.bases))]
+    judged = model.predict(model.base_scores(test, names))
+    picks = [E.argmax(F.col(n)).cast("int").alias(n) for n in names]
+    return judged.select(*LOG.keys, F.col("label").cast("int"), *picks, F.col("prediction").cast("int"))
 
 
 def fitted_importances(spark, folder):

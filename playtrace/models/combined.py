@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
-from math import exp, log
 
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtrace.models.histograms import AdaptiveBoosting, Column as CountColumn, binned, with_bins, with_scores  # noqa: F401
 from playtrace.models.learners import Predictor, argmax, logistic
+from playtrace.models.neighbours import NeighbourLearner
 from playtrace.operators.aggregates import row_mode
 from playtrace.operators.sampling import ClassIndex, kfold
 from playtrace.runtime import materialize
@@ -89,63 +90,6 @@ class VotingModel:
         return df.withColumn(name, weighted_vote([F.col(v) for v in votes], weights, self.classes)).drop(*votes)
 
 
-# --- adaptive boosting ---
-
-
-@dataclass
-class BoostedModel(Predictor):
-    stumps: list
-    weights: list[float]
-    classes: int
-
-    def scores(self, df: DataFrame, name: str) -> DataFrame:
-        votes = [f"_stump_{i}" for i in range(len(self.stumps))]
-        for vote, stump in zip(votes, self.stumps):
-            shown = stump.transform(df)
-            df = shown.drop("rawPrediction", "probability").withColumnRenamed("prediction", vote)
-        whole = sum(self.weights)
-        share = lambda c: reduce(lambda x, y: x + y, [
-            F.when(F.col(v) == c, F.lit(w / whole)).otherwise(0.0) for v, w in zip(votes, self.weights)])
-        return df.withColumn(name, F.array(*[share(c) for c in range(self.classes)])).drop(*votes)
-
-
-@dataclass
-class AdaptiveBoosting:
-    """Multi-class adaptive boosting over depth-one trees.
-
-    Row weights are a column; each round writes down what it got wrong, so the plan stays as long as one round.
-    """
-
-    classes: int
-    rounds: int = 50
-    seed: int = 42
-
-    def fit(self, train: DataFrame) -> BoostedModel:
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed)
-        rows = train.select("features", "label").withColumn("weight", F.lit(1.0))
-        stumps, weights = [], []
-        for _ in range(self.rounds):
-            model = stump.fit(rows)
-            missed = (F.col("prediction") != F.col("label")).cast("double").alias("miss")
-            judged = materialize(model.transform(rows).select("features", "label", "weight", missed), "boost")
-            error = judged.agg((F.sum(F.col("weight") * F.col("miss")) / F.sum("weight")).alias("e")).first()["e"]
-            if error >= 1 - 1 / self.classes:
-                break  # no better than guessing
-            stumps.append(model)
-            if error <= 0:
-                weights.append(1.0)
-                break
-            amount = log((1 - error) / error) + log(self.classes - 1)
-            weights.append(amount)
-            # Heavier where missed, scaled so that the weights keep their mean.
-            scale = 1 / ((1 - error) + error * exp(amount))
-            raised = F.col("weight") * F.exp(F.lit(amount) * F.col("miss")) * F.lit(scale)
-            rows = judged.select("features", "label", raised.alias("weight"))
-        if not stumps:
-            raise ValueError("the first tree is no better than guessing")
-        return BoostedModel(stumps, weights, self.classes)
-
-
 # --- resample and vote ---
 
 
@@ -155,17 +99,44 @@ def resample_and_vote(
 ) -> DataFrame:
     """Fit one model per balanced resample and take the most frequent prediction per test row.
 
-    ``train`` has keys, ``features`` and ``label``. With ``compound`` each round resamples the rows drawn in the
-    round before, otherwise every round draws from ``train``. Adds ``pred_0..`` and ``prediction`` to ``test``.
+    ``train`` has keys, ``features`` and ``label``. A resample is how often each of its rows is drawn, one number a round in an
+    array, so all rounds read one table. Learners with ``fit_weighted`` grow the models of all rounds together; others get
+    the number as ``weightCol``, or copies of the rows where they have none. With ``compound`` each round resamples the rows drawn
+    in the round before and is written, otherwise every round draws from ``train``. Adds ``pred_0..`` and ``prediction`` to ``test``.
     """
-    index, names = ClassIndex(train, "label", keys), []
+    names = [f"pred_{i}" for i in range(rounds)]
+    if compound:
+        models = list(_compound_models(train, learner, keys, rounds, mode, seed))
+    else:
+        counted = ClassIndex(train, "label", keys).draw_counts(mode, [seed + i for i in range(rounds)])
+        if hasattr(learner, "fit_weighted"):
+            table = binned(counted, learner.classes, keys)
+            models = learner.fit_weighted(table, CountColumn("draws"), rounds, ["draws"])
+            judged = with_scores(with_bins(test, table.edges), {n: [m] for n, m in zip(names, models)})
+            judged = judged.select(*test.columns, *[argmax(F.col(n)).alias(n) for n in names])
+            return row_mode(judged, names, "prediction")
+        counted = materialize(counted, "drawn")
+        models = [_weighted_fit(learner, counted, i) for i in range(rounds)]
+    for name, model in zip(names, models):
+        test = model.predict(test, name)
+    return row_mode(test, names, "prediction")
+
+
+def _weighted_fit(learner, counted: DataFrame, i: int) -> Predictor:
+    """A model of the rows that round ``i`` draws, as often as it draws them."""
+    drawn = counted.withColumn("weight", F.col("draws")[i].cast("double")).filter("weight > 0").drop("draws")
+    if getattr(learner, "estimator", None) is not None and learner.estimator.hasParam("weightCol"):
+        weighted = replace(learner, estimator=learner.estimator.copy({learner.estimator.getParam("weightCol"): "weight"}))
+        return weighted.fit(drawn)
+    return learner.fit(drawn.withColumn("weight", F.explode(F.array_repeat(F.lit(1.0), F.col("weight").cast("int")))))
+
+
+def _compound_models(train: DataFrame, learner, keys: list[str], rounds: int, mode: str, seed: int):
+    index = ClassIndex(train, "label", keys)
     for i in range(rounds):
         drawn = materialize(index.draw(mode, seed + i).select("features", "label", "draw"), "drawn")
-        if compound:
-            index = ClassIndex(drawn.withColumnRenamed("draw", "_drawn"), "label", ["_drawn"])
-        names.append(f"pred_{i}")
-        test = learner.fit(drawn).predict(test, names[-1])
-    return row_mode(test, names, "prediction")
+        index = ClassIndex(drawn.withColumnRenamed("draw", "_drawn"), "label", ["_drawn"])
+        yield learner.fit(drawn)
 
 
 # --- stacking ---
@@ -176,22 +147,25 @@ class StackedModel(Predictor):
     bases: list[Predictor]
     meta: Predictor
 
-    def scores(self, df: DataFrame, name: str) -> DataFrame:
-        wide = _meta_features(df, self.bases).withColumnRenamed("features", "_own").withColumnRenamed("_meta", "features")
-        return self.meta.scores(wide, name).drop("features").withColumnRenamed("_own", "features")
-
+    def base_scores(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """Class scores of each base learner, as columns of the given names next to those of ``df``."""
+        for name, base in zip(names, self.bases, strict=True):
+            df = base.scores(df, name)
+        return df
 
-def _meta_features(df: DataFrame, bases: list[Predictor]) -> DataFrame:
-    """All bases' class scores of each row, side by side as one vector ``_meta``."""
-    names = [f"_base_{i}" for i in range(len(bases))]
-    for name, base in zip(names, bases):
-        df = base.scores(df, name)
-    return df.withColumn("_meta", array_to_vector(F.concat(*names))).drop(*names)
+    def scores(self, df: DataFrame, name: str) -> DataFrame:
+        bases = [f"_base_{i}" for i in range(len(self.bases))]
+        wide = self.base_scores(df, bases).withColumnRenamed("features", "_own").withColumn("features", array_to_vector(F.concat(*bases)))
+        return self.meta.scores(wide, name).drop("features", *bases).withColumnRenamed("_own", "features")
 
 
 @dataclass
 class StackedLearner:
-    """Out-of-fold scores of the base learners train a logistic one-against-rest learner on top."""
+    """Out-of-fold scores of the base learners train a logistic one-against-rest learner on top.
+
+    Learners with ``fit_folds`` fit all folds and the final model together over one binned table, neighbours are looked up in one
+    index that leaves out a row's own fold; others are fitted once for each fold.
+    """
 
     bases: list
     keys: list[str]
@@ -199,17 +173,44 @@ class StackedLearner:
     seed: int = 42
     meta: object = field(default_factory=lambda: logistic(one_vs_rest=True))
 
+    def _fitted(self, train: DataFrame) -> tuple[DataFrame, list[Predictor]]:
+        """(keys, fold, label and ``_base_i`` of every row from models that have not seen its fold; models of all rows)."""
+        names = [f"_base_{i}" for i in range(len(self.bases))]
+        together = {n: b for n, b in zip(names, self.bases) if hasattr(b, "fit_folds")}
+        indexed = {n: b for n, b in zip(names, self.bases) if isinstance(b, NeighbourLearner)}
+        apart = {n: b for n, b in zip(names, self.bases) if n not in together and n not in indexed}
+        folded = kfold(train, self.folds, self.seed, self.keys)
+        final = {}
+        if together:
+            table = binned(folded, next(iter(together.values())).classes, self.keys)
+            # Each fit is a chain of small jobs; chains of different learners run side by side.
+            with ThreadPoolExecutor(len(together)) as pool:
+                fits = list(pool.map(lambda base: base.fit_folds(table, self.folds), together.values()))
+            rows, models = table.rows, dict(zip(together, fits))
+            final |= {n: fitted[-1] for n, fitted in models.items()}
+            rows = with_scores(rows, {n: fitted[:-1] for n, fitted in models.items()})
+        else:
+            rows = folded
+        rows = materialize(rows, "folds")
+        if apart:
+            parts = []
+            for fold in range(self.folds):
+                seen, held = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+                for name, base in apart.items():
+                    held = base.fit(seen).scores(held, name)
+                parts.append(held)
+            rows = materialize(reduce(DataFrame.unionByName, parts), "folds")
+            final |= {n: b.fit(train) for n, b in apart.items()}
+        for name, base in indexed.items():
+            final[name] = base.fit(rows, "fold")
+            rows = materialize(final[name].scores(rows, name), "folds")
+        return rows.select(*self.keys, "fold", "label", *names), [final[n] for n in names]
+
     def out_of_fold(self, train: DataFrame) -> DataFrame:
-        """Meta features of every row from models that have not seen its fold."""
-        rows = materialize(kfold(train, self.folds, self.seed, self.keys), "folds")
-        parts = []
-        for fold in range(self.folds):
-            seen, held = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-            fitted = [base.fit(seen) for base in self.bases]
-            parts.append(_meta_features(held, fitted))
-        union = reduce(DataFrame.unionByName, parts)
-        return materialize(union.select(*self.keys, "fold", F.col("_meta").alias("features"), "label"), "meta")
+        """Class scores ``_base_i`` of every row by each base learner, from models that have not seen its fold."""
+        return self._fitted(train)[0]
 
     def fit(self, train: DataFrame) -> StackedModel:
-        meta = self.meta.fit(self.out_of_fold(train))
-        return StackedModel([base.fit(train) for base in self.bases], meta)
+        rows, models = self._fitted(train)
+        joint = array_to_vector(F.concat(*[f"_base_{i}" for i in range(len(self.bases))]))
+        return StackedModel(models, self.meta.fit(rows.select(joint.alias("features"), "label")))

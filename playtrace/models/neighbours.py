@@ -24,6 +24,7 @@ from playtrace.runtime import materialize
 
 BLOCK_ROWS = 4000
 FEWEST_PIVOTS, MOST_PIVOTS = 16, 1024
+NO_GROUP = -1
 SLACK = 1 + 1e-9  # keeps rounding in the bounds from ruling out a true neighbour
 
 
@@ -43,35 +44,37 @@ def nearest_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.withColumn("_p", place("v")).select(*df.columns, "_p.cell", "_p.to_pivot")
 
 
-def visited_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, near: np.ndarray, k: int) -> DataFrame:
+def visited_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, near: dict[int, np.ndarray], k: int) -> DataFrame:
     """Add one row per cell that may hold one of the k nearest rows.
 
-    ``near[c]`` are the k smallest distances of cell c's rows to its pivot (infinite where there are fewer): a
-    query is at most its own distance to the pivot further away from those rows.
+    ``near[g][c]`` are the k smallest distances to its pivot of cell c's rows outside group g (infinite where there are
+    fewer): a query of the group is at most its own distance to the pivot further away from those rows.
     """
 
     @F.pandas_udf("array<int>")
-    def visits(vectors: pd.Series) -> pd.Series:
+    def visits(vectors: pd.Series, groups: pd.Series) -> pd.Series:
         out = []
-        for row in _distances(np.stack(vectors.to_numpy()), pivots):
-            reach = (row[:, None] + near).ravel()
+        for row, group in zip(_distances(np.stack(vectors.to_numpy()), pivots), groups):
+            reach = (row[:, None] + near.get(group, near[NO_GROUP])).ravel()
             bound = np.partition(reach, k - 1)[k - 1]
             out.append(np.flatnonzero(row - radius <= bound * SLACK).astype("int32"))
         return pd.Series(out)
 
-    return queries.select("*", F.explode(visits("v")).alias("cell"))
+    return queries.select("*", F.explode(visits("v", "grp")).alias("cell"))
 
 
 class NeighbourIndex:
     """Training rows laid out in cells for any number of ``find`` calls.
 
-    ``train`` has ``id``, ``v`` (array of doubles) and ``label``.
+    ``train`` has ``id``, ``v`` (array of doubles) and ``label``. With ``group`` (a few numbers from 0, such as folds) a query
+    finds neighbours outside its own group only, so one index answers the queries of every fold.
     """
 
-    def __init__(self, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None):
-        self.k, self.block_rows = k, block_rows
-        same = Window.partitionBy("v").orderBy("id")
-        first = train.select("id", "v", "label").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k)
+    def __init__(self, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None, group: str | None = None):
+        self.k, self.block_rows, self.group = k, block_rows, group
+        same = Window.partitionBy("v", "grp").orderBy("id")
+        grouped = train.select("id", "v", "label", (F.col(group).cast("int") if group else F.lit(0)).alias("grp"))
+        first = grouped.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k)
         rows = materialize(first.drop("_n"), "train")
         # About the root of the number of rows, so that rows per cell grow as slowly as cells per query.
         pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, rows.count() ** 0.5)))
@@ -86,11 +89,21 @@ class NeighbourIndex:
         self.rows_in, self.radius = {}, np.full(len(chosen), -np.inf)
         for r in shape.collect():  # one row per pivot
             self.rows_in[r["cell"]], self.radius[r["cell"]] = r["rows"], r["radius"]
-        by_distance = Window.partitionBy("cell").orderBy("to_pivot")
-        closest = self.placed.select("cell", "to_pivot", F.row_number().over(by_distance).alias("n")).filter(F.col("n") <= k)
-        self.near = np.full((len(chosen), k), np.inf)
-        for r in closest.collect():  # at most k rows per pivot
-            self.near[r["cell"], r["n"] - 1] = r["to_pivot"]
+        by_distance = Window.partitionBy("cell", "grp").orderBy("to_pivot")
+        closest = self.placed.select("cell", "grp", "to_pivot", F.row_number().over(by_distance).alias("n")).filter(F.col("n") <= k).collect()
+        self.near = {g: self._nearest_outside(closest, g) for g in {NO_GROUP, *(r["grp"] for r in closest if group)}}
+
+    def _nearest_outside(self, closest: list, group: int) -> np.ndarray:
+        """The k smallest distances to its pivot of each cell's rows outside ``group``, from at most k rows per pivot and group."""
+        found = {}
+        for r in closest:
+            if r["grp"] != group:
+                found.setdefault(r["cell"], []).append(r["to_pivot"])
+        near = np.full((len(self.centres), self.k), np.inf)
+        for cell, distances in found.items():
+            best = sorted(distances)[: self.k]
+            near[cell, : len(best)] = best
+        return near
 
     def _blocks(self, sizes: dict[int, int]) -> Column:
         """Number of blocks of a row's cell."""
@@ -100,11 +113,13 @@ class NeighbourIndex:
     def find(self, queries: DataFrame) -> DataFrame:
         """(query vector ``v``, ``id``, ``distance``, ``label``) of the k nearest training rows of each distinct query.
 
-        ``queries`` has ``v``. Equally distant rows are taken in order of id.
+        ``queries`` has ``v``, and the group's column to leave out its rows. Equally distant rows are taken in order of id.
         """
         k = self.k
+        apart = self.group is not None and self.group in queries.columns
+        asked_group = F.col(self.group).cast("int") if apart else F.lit(NO_GROUP)
         distinct = materialize(
-            queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+            queries.select("v", asked_group.alias("grp")).distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
         visits = materialize(visited_cells(distinct, self.centres, self.radius, self.near, k), "visits")
         visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row per pivot
         row_blocks, query_blocks = self._blocks(self.rows_in), self._blocks(visitors)
@@ -117,24 +132,26 @@ class NeighbourIndex:
             if not len(asked) or not len(known):
                 return pd.DataFrame(columns=["query", "id", "distance", "label"], dtype=object)
             known = known.sort_values("id", kind="stable")
-            matrix = np.stack(known["v"].to_numpy())
+            matrix, groups = np.stack(known["v"].to_numpy()), known["grp"].to_numpy()
             picks, distances = [], []
-            for vector in asked["v"]:
+            for vector, group in zip(asked["v"], asked["grp"]):
                 d = np.sqrt(((matrix - vector) ** 2).sum(axis=1))
+                d[groups == group] = np.inf
                 best = np.argsort(d, kind="stable")[:k]  # stable: equal distances stay in order of id
                 picks.append(best)
                 distances.append(d[best])
             picked = np.concatenate(picks)
             return pd.DataFrame({
                 "query": np.repeat(asked["query"].to_numpy(), len(picks[0])), "id": known["id"].to_numpy()[picked],
-                "distance": np.concatenate(distances), "label": known["label"].to_numpy()[picked]})
+                "distance": np.concatenate(distances), "label": known["label"].to_numpy()[picked]}).query("distance < inf")
 
         types = {c: self.placed.schema[c].dataType.simpleString() for c in ("id", "label")}
         partial = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInPandas(
             block_neighbours, f"query bigint, id {types['id']}, distance double, label {types['label']}")
         ranked = Window.partitionBy("query").orderBy("distance", "id")
         top = partial.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") <= k).drop("_n")
-        return distinct.join(top, "query").drop("query")
+        found = distinct.join(top, "query").drop("query")
+        return found.withColumnRenamed("grp", self.group) if apart else found.drop("grp")
 
 
 def nearest(
@@ -160,8 +177,9 @@ class NeighbourModel(Predictor):
         """Share of each class among the neighbours."""
         asked = df.withColumn("v", vector_to_array("features"))
         share = lambda c: F.avg((F.col("label") == c).cast("double"))
-        shares = self.index.find(asked).groupBy("v").agg(F.array(*[share(c) for c in range(self.classes)]).alias(name))
-        return asked.join(shares, "v", "left").drop("v")
+        group = [self.index.group] if self.index.group in df.columns else []
+        shares = self.index.find(asked).groupBy("v", *group).agg(F.array(*[share(c) for c in range(self.classes)]).alias(name))
+        return asked.join(shares, ["v", *group], "left").drop("v")
 
 
 @dataclass
@@ -172,6 +190,7 @@ class NeighbourLearner:
     id: str
     k: int = 5
 
-    def fit(self, train: DataFrame) -> NeighbourModel:
-        rows = train.select(F.col(self.id).alias("id"), vector_to_array("features").alias("v"), "label")
-        return NeighbourModel(NeighbourIndex(rows, self.k), self.classes)
+    def fit(self, train: DataFrame, group: str | None = None) -> NeighbourModel:
+        """With ``group`` the model leaves out a row's own group wherever scored rows have that column."""
+        rows = train.select(F.col(self.id).alias("id"), vector_to_array("features").alias("v"), "label", *([group] if group else []))
+        return NeighbourModel(NeighbourIndex(rows, self.k, group=group), self.classes)

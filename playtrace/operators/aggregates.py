@@ -53,20 +53,35 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def class_proportions(df: DataFrame, column: str) -> DataFrame:
     """Share of each value, smallest first."""
     counts = value_counts(df, column)
-    total = F.broadcast(counts.agg(F.sum("n").alias("_total")))  # one row
-    share = F.col("n") / F.col("_total")
-    return counts.crossJoin(total).select(column, "n", share.alias("proportion")).orderBy("proportion", column)
+    share = F.col("n") / counts.agg(F.sum("n")).scalar()
+    return counts.select(column, "n", share.alias("proportion")).orderBy("proportion", column)
 
 
-def rating_grid(df: DataFrame, columns: list[str], low: int | None = None, high: int | None = None) -> DataFrame:
-    """Every rating from the smallest to the largest found in ``columns`` (or between the given bounds)."""
+RANGE_BLOCK = 100_000
+
+
+def _rating_bounds(df: DataFrame, columns: list[str], low: int | None, high: int | None) -> DataFrame:
+    """One row (lo, hi): smallest and largest rating found in ``columns``, or the given bounds; none without ratings."""
     low_c = F.min(F.least(*[F.col(c) for c in columns])) if len(columns) > 1 else F.min(columns[0])
     high_c = F.max(F.greatest(*[F.col(c) for c in columns])) if len(columns) > 1 else F.max(columns[0])
     bounds = df.agg(
         (F.lit(low) if low is not None else low_c).cast("int").alias("lo"),
         (F.lit(high) if high is not None else high_c).cast("int").alias("hi"),
-    ).filter("lo is not null and hi is not null")
-    return bounds.select(F.explode(F.sequence("lo", "hi")).alias("rating"))
+    )
+    return bounds.filter("lo is not null and hi is not null and lo <= hi")
+
+
+def rating_grid(df: DataFrame, columns: list[str], low: int | None = None, high: int | None = None) -> DataFrame:
+    """Every rating from the smallest to the largest found in ``columns`` (or between the given bounds)."""
+    return _every_number(_rating_bounds(df, columns, low, high), "rating").select("rating")
+
+
+def _every_number(bounds: DataFrame, name: str) -> DataFrame:
+    """A row for each number from ``lo`` to ``hi`` of each row; long ranges are dealt over the cluster before they are numbers."""
+    blocks = bounds.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(cast(hi as bigint) - lo) div {RANGE_BLOCK}"))).alias("_block"))
+    start = F.col("lo").cast("bigint") + F.col("_block") * RANGE_BLOCK
+    numbers = F.sequence(start, F.least(start + RANGE_BLOCK - 1, F.col("hi").cast("bigint")))
+    return blocks.repartition("_block").select("*", F.explode(numbers).alias(name)).withColumn(name, F.col(name).cast("int")).drop("_block")
 
 
 def rating_histogram(df: DataFrame, column: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -81,10 +96,8 @@ def confusion_matrix(
     """Dense counts for every pair of ratings, in long form."""
     counts = df.groupBy(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")).agg(
         F.count(F.lit(1)).alias("n"))
-    # One row per rating: all ratings as an array column give the second axis without a join.
-    axis = rating_grid(df, [a, b], low, high)
-    every = axis.agg(F.array_sort(F.collect_set("rating")).alias("all"))
-    grid = every.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    bounds = _rating_bounds(df, [a, b], low, high)
+    grid = _every_number(_every_number(bounds, "a"), "b").select("a", "b")
     return grid.join(counts, ["a", "b"], "left").na.fill(0, ["n"])
 
 

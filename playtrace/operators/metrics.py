@@ -42,28 +42,29 @@ def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
 def quadratic_weighted_kappa_from_grid(
     df: DataFrame, a: str, b: str, low: int | None = None, high: int | None = None
 ) -> DataFrame:
-    """The same from the counts of rating pairs and both margins; ratings outside the given bounds do not count."""
+    """The same from the sparse counts of rating pairs and the sums of both margins; ratings outside the given bounds do not count."""
     cells = _cells(df, a, b)
     for name in ("a", "b"):
         cells = cells.where((F.lit(True) if low is None else F.col(name) >= low) & (F.lit(True) if high is None else F.col(name) <= high))
-    listed = cells.agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").cast("double").alias("all"))
-    square = lambda x, y: ((x - y) * (x - y)).cast("double")
-    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    observed = summed(F.transform("cells", lambda c: square(c["a"], c["b"]) * c["n"]))
-    expected = summed(F.transform("cells", lambda c: summed(
-        F.transform("cells", lambda d: square(c["a"], d["b"]) * c["n"] * d["n"]))))
-    return listed.select((1 - F.try_divide(observed, F.try_divide(expected, F.col("all")))).alias("kappa"))
+    # Squared distances of all pairs of two margins need the margins' sums, sums of squares and sizes only; all exact.
+    n, x, y = (F.col(c).cast("decimal(19,0)") for c in ("n", "a", "b"))
+    sums = {"all": n, "x": n * x, "y": n * y, "xx": n * (x * x), "yy": n * (y * y), "apart": n * ((x - y) * (x - y))}
+    totals = cells.agg(*[F.sum(v.cast("decimal(38,0)")).alias(k) for k, v in sums.items()])
+    wide = lambda name: F.col(name).cast("double")
+    expected = F.expr("cast(`all` * (xx + yy) as decimal(38,0)) - cast(2 * x * y as decimal(38,0))").cast("double")
+    return totals.select((1 - F.try_divide(wide("apart") * wide("all"), expected)).alias("kappa"))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Unweighted kappa: one minus the ratio of observed to chance disagreement, over rows with both ratings."""
-    listed = _cells(df, a, b).agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").cast("double").alias("all"))
-    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    agree = summed(F.transform("cells", lambda c: F.when(c["a"] == c["b"], c["n"].cast("double")).otherwise(0.0)))
-    chance = summed(F.transform("cells", lambda c: summed(F.transform(
-        "cells", lambda d: F.when(c["a"] == d["b"], c["n"].cast("double") * d["n"]).otherwise(0.0)))))
+    none = F.lit(0).cast("bigint")
+    side = lambda rating, of_a, of_b, same: F.struct(F.col(rating).alias("rating"), of_a.alias("of_a"), of_b.alias("of_b"), same.alias("same"))
+    n = F.col("n")
+    both = F.array(side("a", n, none, F.when(F.col("a") == F.col("b"), n).otherwise(none)), side("b", none, n, none))
+    margins = _cells(df, a, b).select(F.inline(both)).groupBy("rating").agg(*[F.sum(c).cast("double").alias(c) for c in ("of_a", "of_b", "same")])
+    totals = margins.agg(F.sum("of_a").alias("all"), F.sum("same").alias("agree"), F.sum(F.col("of_a") * F.col("of_b")).alias("chance"))
     total = F.col("all")
-    return listed.select((1 - F.try_divide(1 - F.try_divide(agree, total), 1 - F.try_divide(chance, total * total))).alias("kappa"))
+    return totals.select((1 - F.try_divide(1 - F.try_divide(F.col("agree"), total), 1 - F.try_divide(F.col("chance"), total * total))).alias("kappa"))
 
 
 def mean_kappa(df: DataFrame, kappa: str, weight: str | None = None) -> DataFrame:

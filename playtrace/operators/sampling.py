@@ -33,46 +33,61 @@ def numbered_within(df: DataFrame, label: str, keys: list[str], name: str = "row
     return scan.result().withColumn(name, F.col(name) - 1)
 
 
+DRAW_BLOCK = 100_000  # draws that one generated row stands for
+
+
 class ClassIndex:
-    """Rows numbered within their class, written once, from which any number of resamples can be drawn.
+    """Rows numbered within their class, and the classes' sizes, each written once; any number of resamples is drawn from them.
 
-    ``df`` is read a few times: pass a table that is cheap to read.
+    ``df`` is read twice: pass a table that is cheap to read. Rows without a label are in no resample.
     """
 
-    def __init__(self, df: DataFrame, label: str, keys: list[str], max_classes: int = 10_000):
+    def __init__(self, df: DataFrame, label: str, keys: list[str]):
         self.label, self.columns = label, df.columns
-        counts = value_counts(df, label).filter(F.col(label).isNotNull()).limit(max_classes + 1).collect()
-        if len(counts) > max_classes:
-            raise ValueError(f"{label} has more than {max_classes} classes")
-        self.sizes = {r[label]: r["n"] for r in counts}
+        sizes = value_counts(df, label).filter(F.col(label).isNotNull())
+        self.sizes = materialize(sizes.select(label, F.col("n").alias("_size")), "sizes")
         self.rows = materialize(numbered_within(df, label, keys), "numbered")
 
+    def _drawn_numbers(self, mode: str, seeds: list[int]) -> DataFrame:
+        """(label, row_in_class, draw, round) of every draw of each round.
+
+        A class is a row, which becomes a row for each block of its draws; blocks are dealt over the cluster before they become
+        draws, so neither many classes nor large ones are one task's work or part of the plan.
+        """
+        label = self.label
+        ends = self.sizes.agg(F.min("_size").alias("down"), F.max("_size").alias("over")).first()
+        size = ends[mode] or 0
+        rounds = F.posexplode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("round", "_seed")
+        blocks = self.sizes.filter(F.lit(size > 0)).select(
+            label, "_size", F.explode(F.sequence(F.lit(0), F.lit(max(0, size - 1) // DRAW_BLOCK))).alias("_block"))
+        blocks = blocks.select("*", rounds).repartition(label, "_block", "round")
+        first = F.col("_block").cast("bigint") * DRAW_BLOCK + 1
+        draws = blocks.select(
+            label, "_size", "round", "_seed", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK - 1, F.lit(size).cast("bigint")))).alias("draw"))
+        number = F.pmod(hashed_number(F.col("_seed"), F.col(label), F.col("draw")), F.col("_size"))
+        return draws.select(label, number.alias("row_in_class"), "draw", "round")
+
     def draw(self, mode: str = "down", seed: int = 42) -> DataFrame:
         """Every class drawn with replacement to the size of the smallest ('down') or largest ('over') class.
 
-        Draw ``i`` of a class takes the row numbered ``md5(seed:class:i) mod class size``. Draws are generated
-        in parallel and joined to the numbered rows on (class, number), a key that no class can make hot. The
-        result has a ``draw`` column: with the label it identifies the drawn row.
+        Draw ``i`` of a class takes the row numbered ``md5(seed:class:i) mod class size``. Draws are joined to the numbered
+        rows on (class, number), a key that no class can make hot. The result has a ``draw`` column: with the label it
+        identifies the drawn row.
         """
-        spark, label = self.rows.sparkSession, self.label
-        if not self.sizes:
-            return self.rows.select(*self.columns, F.lit(0).cast("bigint").alias("draw"))
-        size = {"down": min, "over": max}[mode](self.sizes.values())
-        classes = sorted(self.sizes)
-        nth = F.expr(f"cast(id div {size} as int) + 1")
-        draws = spark.range(size * len(classes)).select(
-            F.element_at(F.array(*[F.lit(c) for c in classes]), nth).alias(label),
-            F.element_at(F.array(*[F.lit(self.sizes[c]) for c in classes]), nth).alias("_size"),
-            (F.col("id") % size + 1).alias("draw"),
-        )
-        number = F.pmod(hashed_number(F.lit(seed), F.col(label), F.col("draw")), F.col("_size"))
-        kind = self.rows.schema[label].dataType
-        drawn = draws.select(F.col(label).cast(kind), number.alias("row_in_class"), "draw")
-        return drawn.join(self.rows, [label, "row_in_class"], "inner").select(*self.columns, "draw")
-
-
-def balanced_resample(
-    df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42, max_classes: int = 10_000
-) -> DataFrame:
-    """One balanced resample of ``df``; see ``ClassIndex.draw``. Raises above ``max_classes``."""
-    return ClassIndex(materialize(df, "resample"), label, keys, max_classes).draw(mode, seed)
+        drawn = self._drawn_numbers(mode, [seed]).drop("round")
+        return drawn.join(self.rows, [self.label, "row_in_class"], "inner").select(*self.columns, "draw")
+
+    def draw_counts(self, mode: str = "down", seeds: list[int] | None = None, name: str = "draws") -> DataFrame:
+        """All rows with ``draws``: how often the resample of each seed draws the row. One table stands for all resamples."""
+        seeds = [42] if seeds is None else seeds
+        key = [self.label, "row_in_class"]
+        counted = self._drawn_numbers(mode, seeds).groupBy(*key, "round").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        rounds = counted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("round", "n"))).alias("_n"))
+        each = F.transform(F.sequence(F.lit(0), F.lit(len(seeds) - 1)), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0)))
+        labelled = self.rows.filter(F.col(self.label).isNotNull())
+        return labelled.join(rounds, key, "left").select(*self.columns, each.alias(name))
+
+
+def balanced_resample(df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42) -> DataFrame:
+    """One balanced resample of ``df``; see ``ClassIndex.draw``."""
+    return ClassIndex(materialize(df, "resample"), label, keys).draw(mode, seed)

@@ -20,7 +20,7 @@ def _progress(log: EventLog) -> Column:
     return F.col(log.elapsed).cast("decimal(24,0)") * F.lit(Decimal(10**13)) + F.col(log.count).cast("decimal(13,0)")
 
 
-def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG, merged: bool = False) -> DataFrame:
+def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG, merged: bool = True) -> DataFrame:
     """One row per session with everything the session-level operators need.
 
     All aggregates keep fixed-width buffers, so Spark combines them in hash maps before the shuffle: a session
@@ -28,8 +28,8 @@ def session_frame(events: DataFrame, log: EventLog = DEFAULT_LOG, merged: bool =
     has both the largest play time and the largest event counter; sessions without one are left out of the
     terminal-order operators, as in the original rules.
 
-    A session is taken to have one type, title and world. With ``merged`` a session that has several (or nulls beside
-    them) still becomes one row, by a second and much smaller aggregate over the keys alone; without it, one row for each.
+    A session is taken to have one type, title and world. One that has several (or nulls beside them) still becomes one row,
+    by a second and much smaller aggregate over the keys alone; without ``merged`` it is one row for each.
     """
     hour_then_time = F.hour(log.ts).cast("bigint") * F.lit(10**17) + micros(events, log.ts)
     tried = F.col("_attempt") == 1

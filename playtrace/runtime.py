@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ GROUP_ROWS_CONF = "spark.playtrace.groupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that see the driver's folders import this package; elsewhere it is installed or sent as py-files."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH", ""), root]))
+
+
 def group_rows(spark: SparkSession) -> int:
     """Largest number of rows of one key that an ordered window may give to a single task."""
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))

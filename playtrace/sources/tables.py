@@ -34,11 +34,12 @@ PREDICTIONS_SCHEMA = T.StructType([
 ])
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType | None, kind: str | None = None, multi_line: bool = True) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType | None, kind: str | None = None, multi_line: bool = False) -> DataFrame:
     """``kind`` is csv or parquet; without it, CSV for a path that ends in ``.csv`` or ``.csv.gz``, else parquet.
 
     A CSV field that does not fit its type, or a row with too few or too many fields, fails the read rather than becoming null.
-    ``multi_line`` lets quoted fields hold line breaks; such files are not split, so turn it off for large files without them.
+    Files are split, so a large log is read by many tasks; a quoted line break then fails the read. ``multi_line`` reads such files,
+    each by one task.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind is None:
@@ -51,13 +52,13 @@ def _read(spark: SparkSession, path: str, schema: T.StructType | None, kind: str
 
 
 def read_event_log(
-    spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA, kind: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = EVENT_LOG_SCHEMA, kind: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     return _read(spark, path, schema, kind, multi_line)
 
 
-def read_labels(spark: SparkSession, path: str, schema: T.StructType = LABELS_SCHEMA, kind: str | None = None) -> DataFrame:
-    return _read(spark, path, schema, kind)
+def read_labels(spark: SparkSession, path: str, schema: T.StructType = LABELS_SCHEMA, kind: str | None = None, multi_line: bool = False) -> DataFrame:
+    return _read(spark, path, schema, kind, multi_line)
 
 
 def read_feature_matrix(

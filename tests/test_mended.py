@@ -51,7 +51,9 @@ def test_csv_holds_line_breaks_and_hides_nothing(spark):
     path = new_path(spark, "strict")
     rows = spark.createDataFrame([("a\nb", "s,\"q\"", 1)], LABELS_SCHEMA)
     write_csv(rows, path)
-    assert read_labels(spark, path, kind="csv").collect() == rows.collect()
+    assert read_labels(spark, path, kind="csv", multi_line=True).collect() == rows.collect()
+    with pytest.raises(Exception):  # files are split unless they are said to hold line breaks, and nothing is lost silently
+        read_labels(spark, path, kind="csv").collect()
     bad = new_path(spark, "bad")
     write_csv(spark.createDataFrame([("a", "s", "many")], "installation_id string, game_session string, accuracy_group string"), bad)
     with pytest.raises(Exception):

@@ -14,10 +14,13 @@ def plan_of(df):
 
 
 def test_session_pass_combines_before_one_shuffle(spark):
-    plan = plan_of(session_frame(stored_game_events(spark, FOLDER)))
+    events = stored_game_events(spark, FOLDER)
+    plan = plan_of(session_frame(events, merged=False))
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     assert "Window" not in plan
+    # Parts of one session meet in a second shuffle, which carries a row for each session.
+    assert plan_of(session_frame(events)).count("Exchange hashpartitioning") == 2
 
 
 def test_attempt_pass_filters_at_the_scan(spark):

@@ -31,8 +31,8 @@ def test_the_stack_holds_all_base_learners(asked):
     (learner, _), _ = asked("t12_stacking", T.C.StackedLearner, "fit")
     tree, near, boosted, bagged, forest = learner.bases
     assert learner.folds == 10 and isinstance(near, NeighbourLearner) and boosted.rounds == 50
-    assert [m.estimator.getMaxDepth() for m in (tree, bagged, forest)] == [5, 5, 5]
-    assert bagged.estimator.getNumTrees() == forest.estimator.getNumTrees() == 10
+    assert [m.depth for m in (tree, bagged, forest)] == [5, 5, 5]
+    assert bagged.trees == forest.trees == 10 and (bagged.subset, forest.subset) == ("all", "sqrt")
 
 
 def test_sweep_search_and_boosting_use_their_own_defaults(asked):
