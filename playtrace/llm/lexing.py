@@ -2,12 +2,17 @@
 
 A word is a run of bytes other than space and tab to carriage return. A word's hash is a polynomial over its bytes
 modulo 2**64 with an odd base, taken from prefix sums, and then mixed; a run of words is hashed from its words' hashes.
+Polynomials modulo a power of two agree on long words of a regular kind, whatever the base, so words over ``LONG_WORD``
+bytes are hashed by BLAKE2b instead.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
+LONG_WORD = 32
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 20
 
@@ -63,6 +68,9 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
         np.cumsum(letters * power[: last - first], out=sums[1:])
         s, e = starts[at:upto] - first, ends[at:upto] - first
         hashes[at:upto] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        for k in np.flatnonzero(e - s > LONG_WORD):
+            word = letters[s[k] : e[k]].astype(np.uint16).tobytes()
+            hashes[at + k] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         at = upto
     return mix(hashes)
 
