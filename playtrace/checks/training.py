@@ -219,7 +219,7 @@ def _(spark, folder):
 @query("t17_random_search")
 def _(spark, folder):
     train, _, _ = game_sets(spark, folder)
-    return P.random_search(train)[0]
+    return P.random_search(train, keys=LOG.keys)[0]
 
 
 @query("t18_correlation_filter", on_all(

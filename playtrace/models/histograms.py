@@ -447,11 +447,12 @@ class HistogramForest:
     least: float = 1.0
     bootstrap: bool = True
     seed: int = 42
+    first: int = 0  # number of the first tree, so that a forest can be grown in parts
 
     def fit_weighted(self, table: Binned, base: Weights, models: int, columns: list[str] | None = None) -> list[Ensemble]:
         """A forest for each of ``models`` weights. Tree ``i`` of a forest is the same whatever the number of trees."""
         owner = [m for m in range(models) for _ in range(self.trees)]
-        seeds = [self.seed * 100_003 + m * 10_007 + i for m in range(models) for i in range(self.trees)]
+        seeds = [self.seed * 100_003 + m * 10_007 + self.first + i for m in range(models) for i in range(self.trees)]
         width = len(table.edges) if self.subset == "all" else ceil(sqrt(len(table.edges)))
         weights = Bootstrap(base, owner, seeds if self.bootstrap else [-1] * len(seeds))
         trees = grown(table, weights, len(owner), self.depth, width, seeds, self.least, columns)

@@ -5,15 +5,16 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.models.learners import MAX_DEPTH, argmax
+from playtrace.models.histograms import Binned, HistogramForest, Weights, binned
+from playtrace.models.learners import MAX_DEPTH, Predictor, argmax
 from playtrace.operators.metrics import accuracy_of, quadratic_kappa_of
 
 # The grid of the random search. ``None`` depth means unlimited.
@@ -118,31 +119,79 @@ def tree_count_sweep(
         quadratic_kappa_of("label", "prediction").alias("kappa"))
 
 
-class KappaEvaluator(Evaluator):
-    """Quadratic weighted kappa of ``prediction`` against ``label``; larger is better."""
+TREES_AT_ONCE = 100  # trees of each fold that are grown together
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        kappa = dataset.agg(quadratic_kappa_of("label", "prediction").alias("k")).first()["k"]
-        return float("-inf") if kappa is None else kappa
 
-    def isLargerBetter(self) -> bool:
-        return True
+def _effective(setting: dict) -> tuple[tuple, int, int]:
+    """((features a node looks at, smallest leaf, bootstrap), trees, depth): what a drawn setting comes to when it is fitted."""
+    width = "sqrt" if setting.get("featureSubsetStrategy", "auto") in ("auto", "sqrt") else setting["featureSubsetStrategy"]
+    depth = min(setting.get("maxDepth", 5) or MAX_DEPTH, MAX_DEPTH)
+    return (width, setting.get("minInstancesPerNode", 1), setting.get("bootstrap", True)), setting.get("numTrees", 20), depth
+
+
+def _forest(kind: tuple, classes: int, trees: int, depth: int, seed: int, first: int = 0) -> HistogramForest:
+    width, least, bootstrap = kind
+    return HistogramForest(classes, trees, depth, width, float(least), bootstrap, seed, first)
+
+
+def _prefix_kappas(table: Binned, kind: tuple, wanted: list[tuple[int, int]], folds: int, seed: int) -> dict[tuple[int, int], float]:
+    """Mean kappa over the folds of each (trees, depth) of one kind of forest, from one fit of the largest.
+
+    A node's features and a tree's sample follow from its seed and place alone, so fewer trees and shallower trees are
+    parts of the same fit: their summed class shares are taken on the way.
+    """
+    most, deepest = max(t for t, _ in wanted), max(d for _, d in wanted)
+    left_out, trees = Weights(list(range(folds))), [[] for _ in range(folds)]
+    for first in range(0, most, TREES_AT_ONCE):
+        part = _forest(kind, table.classes, min(TREES_AT_ONCE, most - first), deepest, seed, first)
+        for fold, model in enumerate(part.fit_weighted(table, left_out, folds)):
+            trees[fold] += model.trees
+    told = table.rows.sparkSession.sparkContext.broadcast((trees, sorted(wanted)))
+    features, classes = len(table.edges), table.classes
+
+    @F.pandas_udf("array<double>")
+    def picks(bins: pd.Series, fold: pd.Series) -> pd.Series:
+        trees, wanted = told.value
+        matrix = np.frombuffer(b"".join(bins), np.uint8).reshape(len(bins), features)
+        out = np.zeros((len(bins), len(wanted)))
+        for number in range(folds):
+            mine = np.flatnonzero(fold.to_numpy() == number)
+            for depth in sorted({d for _, d in wanted}):
+                sums = np.zeros((len(mine), classes))
+                for i, tree in enumerate(trees[number]):
+                    sums += tree.leaf_shares()[tree.nodes_of(matrix[mine], depth)]
+                    for place, setting in enumerate(wanted):
+                        if setting == (i + 1, depth):
+                            out[mine, place] = sums.argmax(1)
+        return pd.Series(list(out))
+
+    long = table.rows.select("fold", "label", F.posexplode(picks("bins", "fold")).alias("place", "prediction"))
+    kappas = long.groupBy("place", "fold").agg(quadratic_kappa_of("label", "prediction").alias("k")).groupBy("place").agg(
+        F.avg(F.coalesce("k", F.lit(float("-inf")))).alias("k")).collect()
+    return {sorted(wanted)[r["place"]]: r["k"] for r in kappas}
 
 
 def random_search(
-    train: DataFrame, draws: int = 100, folds: int = 3, seed: int = 42, grid: dict | None = None, parallelism: int = 4
-) -> tuple[DataFrame, object]:
-    """Cross-validated kappa of random forest settings, and the model refitted with the best."""
+    train: DataFrame, draws: int = 100, folds: int = 3, seed: int = 42, grid: dict | None = None, keys: list[str] | None = None
+) -> tuple[DataFrame, Predictor]:
+    """Cross-validated kappa of every drawn random forest setting, and the model refitted with the first best.
+
+    Settings that differ only in the number of trees or in depth are parts of one fit (``_prefix_kappas``); equal ones are
+    judged once. ``keys`` tell rows apart; without them rows with equal features and label share fold and sample.
+    """
     grid = grid or SEARCH_GRID
-    forest = RandomForestClassifier(seed=seed)
     pick = random.Random(seed)
-    value = lambda name, v: min(v or MAX_DEPTH, MAX_DEPTH) if name == "maxDepth" else v  # noqa: E731  as it is fitted
-    drawn = [{name: value(name, pick.choice(values)) for name, values in grid.items()} for _ in range(draws)]
-    settings = list({str(sorted(s.items(), key=str)): s for s in drawn}.values())  # equal settings are fitted once
-    maps = [{forest.getParam(n): v for n, v in s.items()} for s in settings]
-    search = CrossValidator(
-        estimator=forest, estimatorParamMaps=maps, evaluator=KappaEvaluator(), numFolds=folds, seed=seed,
-        parallelism=parallelism)
-    fitted = search.fit(train)
-    rows = [(i, str(sorted(s.items(), key=str)), float(m)) for i, (s, m) in enumerate(zip(settings, fitted.avgMetrics))]
-    return train.sparkSession.createDataFrame(rows, "draw int, setting string, kappa double"), fitted.bestModel
+    drawn = [{name: pick.choice(values) for name, values in grid.items()} for _ in range(draws)]
+    apart = keys or ["features", "label"]
+    folded = train.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *apart), F.lit(folds)).cast("int"))
+    classes = int(train.agg(F.max("label")).first()[0]) + 1
+    table = binned(folded, classes, keys)
+    kinds: dict[tuple, set] = {}
+    for kind, trees, depth in map(_effective, drawn):
+        kinds.setdefault(kind, set()).add((trees, depth))
+    kappas = {kind: _prefix_kappas(table, kind, sorted(wanted), folds, seed) for kind, wanted in kinds.items()}
+    score = lambda s: kappas[_effective(s)[0]][_effective(s)[1:]]
+    rows = [(i, str(sorted(s.items(), key=str)), float(score(s))) for i, s in enumerate(drawn)]
+    kind, trees, depth = _effective(max(drawn, key=score))
+    best = _forest(kind, classes, trees, depth, seed).fit_weighted(table, Weights([-1]), 1)[0]
+    return train.sparkSession.createDataFrame(rows, "draw int, setting string, kappa double"), best

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playtrace.models import combined as C
 from playtrace.models import histograms as H
+from playtrace.models import selection as P
 from playtrace.models.neighbours import NeighbourLearner
 from playtrace.operators import aggregates as A
 from playtrace.operators import metrics as M
@@ -117,3 +118,19 @@ def test_stack_hands_out_the_scores_of_its_bases(data):
     judged = model.predict(model.base_scores(rows, ["tree", "near", "boost"]))
     first = judged.first()
     assert all(sum(first[n]) == pytest.approx(1.0) for n in ("tree", "near", "boost")) and judged.count() == 200
+
+
+def test_search_reads_smaller_settings_off_the_largest_fit(data):
+    grid = {"numTrees": [2, 3, 5], "maxDepth": [2, 3, None], "minInstancesPerNode": [1, 4], "bootstrap": [True, False]}
+    table, best = P.random_search(data.select("id", "features", "label"), draws=8, folds=2, seed=4, grid=grid, keys=["id"])
+    found = {r["draw"]: (r["setting"], r["kappa"]) for r in table.collect()}
+    assert len(found) == 8 and best.classes == 3
+    rows = data.select("id", "features", "label").withColumn("fold", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(2)).cast("int"))
+    binned = H.binned(rows, 3, ["id"])
+    for draw in (0, 5):
+        setting = dict(eval(found[draw][0]))
+        kind, trees, depth = P._effective(setting)
+        models = P._forest(kind, 3, trees, depth, 4).fit_weighted(binned, H.Weights([0, 1]), 2)
+        judged = H.with_scores(binned.rows, {"s": models}).withColumn("prediction", P.argmax(F.col("s")))
+        single = judged.groupBy("fold").agg(M.quadratic_kappa_of("label", "prediction").alias("k")).agg(F.avg("k")).first()[0]
+        assert found[draw][1] == pytest.approx(single)

@@ -139,5 +139,5 @@ def test_tree_count_sweep_ends_at_the_whole_forest(data):
 def test_random_search_returns_a_score_per_draw(data):
     grid = {"numTrees": [2, 3], "maxDepth": [2, None], "bootstrap": [True, False]}
     table, best = P.random_search(data, draws=2, folds=2, grid=grid)
-    assert table.count() == 2 and best.getNumTrees in (2, 3)
-    assert E.SparkModel(best).predict(data).agg(accuracy_of("label", "prediction")).first()[0] > 0.8
+    assert table.count() == 2 and len(best.trees) in (2, 3)
+    assert best.predict(data).agg(accuracy_of("label", "prediction")).first()[0] > 0.8

@@ -37,6 +37,6 @@ def test_the_stack_holds_all_base_learners(asked):
 
 def test_sweep_search_and_boosting_use_their_own_defaults(asked):
     assert asked("t16_tree_count_sweep", T.P, "tree_count_sweep") == (("train", "test"), {})
-    assert asked("t17_random_search", T.P, "random_search") == (("train",), {})
+    assert asked("t17_random_search", T.P, "random_search") == (("train",), {"keys": T.LOG.keys})
     (learner, train), _ = asked("t6_adaptive_boosting", T.C.AdaptiveBoosting, "fit")
     assert learner.rounds == 50 and train == "train"
