@@ -222,6 +222,37 @@ def _(spark, folder):
     return P.random_search(train, keys=LOG.keys)[0]
 
 
+def correlations_sql(rest: str = "") -> str:
+    return on_all(
+        "SELECT feature, correlation FROM (SELECT feature, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS correlation "
+        f"FROM wide UNPIVOT INCLUDE NULLS (x FOR feature IN (COLUMNS(* EXCLUDE (y)))) GROUP BY feature) {rest}",
+        *FEATURE_VIEWS, f"\nsel AS (SELECT {feature_columns_sql('self_label')} FROM feat)",
+        "\nwide AS (SELECT CAST(COLUMNS(* EXCLUDE (accuracy_group)) AS DOUBLE), CAST(accuracy_group AS DOUBLE) AS y FROM sel)")
+
+
+def all_correlations(spark, folder):
+    """Correlation of every numeric feature with the label, rounded so that two engines order equal values alike."""
+    features = materialize(plain_types(build_features(stored_game_events(spark, folder), "self_label")), "features")
+    names = [c for c in features.columns if c not in (*LOG.keys, "accuracy_group")]
+    found = A.feature_label_correlation(features, "accuracy_group", names)
+    return found.select("feature", F.round("correlation", 6).alias("correlation"))
+
+
+@query("g12_all_feature_correlations", correlations_sql())
+def _(spark, folder):
+    return all_correlations(spark, folder)
+
+
+@query("u3_sort_correlations_descending", correlations_sql("ORDER BY correlation DESC NULLS LAST, feature"))
+def _(spark, folder):
+    return all_correlations(spark, folder).orderBy(F.desc_nulls_last("correlation"), "feature")
+
+
+@query("u4_top_correlations", correlations_sql("ORDER BY correlation DESC NULLS LAST, feature LIMIT 10"))
+def _(spark, folder):
+    return E.top_features(all_correlations(spark, folder).withColumnRenamed("correlation", "importance"), 10).withColumnRenamed("importance", "correlation")
+
+
 @query("t18_correlation_filter", on_all(
     "SELECT feature, round(r, 6) AS correlation FROM (SELECT feature, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r "
     "FROM wide UNPIVOT INCLUDE NULLS (x FOR feature IN (COLUMNS(* EXCLUDE (y)))) GROUP BY feature) WHERE abs(r) > 0.05",
