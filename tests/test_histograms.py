@@ -134,3 +134,26 @@ def test_search_reads_smaller_settings_off_the_largest_fit(data):
         judged = H.with_scores(binned.rows, {"s": models}).withColumn("prediction", P.argmax(F.col("s")))
         single = judged.groupBy("fold").agg(M.quadratic_kappa_of("label", "prediction").alias("k")).agg(F.avg("k")).first()[0]
         assert found[draw][1] == pytest.approx(single)
+
+
+def test_one_task_grows_what_all_levels_together_grow(data):
+    table = H.binned(data.select("id", "features", "label", "fold"), 3, ["id"])
+    assert table.one_part
+    spread = H.Binned(table.rows.repartition(3), table.edges, 3)  # several parts: a job for each level
+    bins = np.array([[a, b, c] for a in range(6) for b in range(6) for c in range(6)], np.uint8)
+    for learner in (H.HistogramTree(3, 6), H.HistogramForest(3, 3, 6, least=2.0), H.HistogramForest(3, 2, 4, "all", bootstrap=False)):
+        for one, many in zip(learner.fit_folds(table, 4), learner.fit_folds(spread, 4)):
+            for here, there in zip(one.trees, many.trees):
+                assert len(here.feature) == len(there.feature)
+                assert np.array_equal(here.leaf_shares()[here.nodes_of(bins)], there.leaf_shares()[there.nodes_of(bins)])
+
+
+def test_search_judges_where_it_grows(data, monkeypatch):
+    rows = data.select("id", "features", "label").withColumn("fold", (F.col("id") % 2).cast("int"))
+    table = H.binned(rows, 3, ["id"])
+    wanted = [(2, 2), (3, 4), (5, 2), (5, 4)]
+    spread = H.Binned(table.rows, table.edges, 3)
+    together = P._prefix_kappas(spread, ("sqrt", 1, True), wanted, 2, 7)
+    monkeypatch.setattr(H.HistogramForest, "fit_weighted", None)  # no tree comes back to the driver
+    monkeypatch.setattr(P, "TREES_A_TASK", 2)
+    assert P._prefix_kappas(table, ("sqrt", 1, True), wanted, 2, 7) == pytest.approx(together)
