@@ -60,7 +60,10 @@ class ClassIndex:
         rounds = F.posexplode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("round", "_seed")
         blocks = self.sizes.filter(F.lit(size > 0)).select(
             label, "_size", F.explode(F.sequence(F.lit(0), F.lit(max(0, size - 1) // DRAW_BLOCK))).alias("_block"))
-        blocks = blocks.select("*", rounds).repartition(label, "_block", "round")
+        # A given number of tasks: the planner would make one of so few and short rows, which stand for many draws.
+        session = self.rows.sparkSession
+        tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+        blocks = blocks.select("*", rounds).repartition(tasks, label, "_block", "round")
         first = F.col("_block").cast("bigint") * DRAW_BLOCK + 1
         draws = blocks.select(
             label, "_size", "round", "_seed", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK - 1, F.lit(size).cast("bigint")))).alias("draw"))
