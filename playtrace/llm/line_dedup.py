@@ -1,6 +1,6 @@
 """Repeated passages of several lines: chunks cut where the lines themselves say so, or every pair of neighbouring lines.
 
-``deduplicated`` takes its pieces from ``chunks_of`` or, without loss, from ``pairs_of``.
+``deduplicated`` takes its pieces from ``chunks_of``, from ``pairs_of`` or, for all that either finds, from ``chunks_and_pairs_of``.
 
 A rolling polynomial hash runs over the hashes of each ``WINDOW`` neighbouring lines; where it is a multiple of ``SPACING`` a
 chunk ends. A boundary thus hangs on the lines next to it alone: lines put in or left out elsewhere shift no other
@@ -76,6 +76,14 @@ def pairs_of(text: Column) -> Column:
     return bound(F.split(text, "\n"), lambda lines: F.transform(starts(lines), lambda i: pair(lines, i)))
 
 
+def chunks_and_pairs_of(text: Column) -> Column:
+    """Chunks of three or more lines, and every pair of neighbouring lines, which also finds what chunks cut off at a passage's ends."""
+    piece = lambda c: F.struct(
+        c["start"].cast("int").alias("place"), c["start"].cast("int").alias("start"), c["n_lines"].cast("int").alias("n_lines"), c["body"].alias("body"))
+    longer = F.filter(chunks_of(text), lambda c: c["n_lines"] >= 3)
+    return F.concat(F.transform(longer, piece), F.transform(pairs_of(text), piece))
+
+
 def repeated_chunks(docs: DataFrame, pieces: Callable[[Column], Column] = chunks_of) -> DataFrame:
     """__doc, __copy, gone: (start, n_lines) of the pieces that an earlier, equal piece makes superfluous."""
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__doc"), "text", F.xxhash64("text").alias("__copy"))
