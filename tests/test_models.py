@@ -141,3 +141,17 @@ def test_random_search_returns_a_score_per_draw(data):
     table, best = P.random_search(data, draws=2, folds=2, grid=grid)
     assert table.count() == 2 and len(best.trees) in (2, 3)
     assert best.predict(data).agg(accuracy_of("label", "prediction")).first()[0] > 0.8
+
+
+def test_small_cells_share_a_block_of_rows(spark):
+    from playtrace.models.neighbours import NeighbourIndex
+
+    rng = np.random.default_rng(8)
+    points = [[float(x) for x in 1e5 + rng.normal(size=4)] for _ in range(300)]  # far from 0, so products round
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(points)], "id long, v array<double>, label int")
+    index = NeighbourIndex(df, 3)
+    assert len(index.centres) > 1 and (index._spans(index.rows_in) == [0, 1]).all()  # a query is copied once, not once a cell
+    found = {}
+    for r in index.find(df).orderBy("distance", "id").collect():
+        found.setdefault(tuple(r["v"]), []).append(r["id"])
+    assert found == brute(list(enumerate(points)), points, 3)
