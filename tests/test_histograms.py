@@ -157,3 +157,9 @@ def test_search_judges_where_it_grows(data, monkeypatch):
     monkeypatch.setattr(H.HistogramForest, "fit_weighted", None)  # no tree comes back to the driver
     monkeypatch.setattr(P, "TREES_A_TASK", 2)
     assert P._prefix_kappas(table, ("sqrt", 1, True), wanted, 2, 7) == pytest.approx(together)
+
+
+def test_draws_are_dealt_over_tasks(data):
+    index = L.ClassIndex(data.select("id", "label"), "label", ["id"])
+    drawn = index._drawn_numbers("over", list(range(20)))
+    assert drawn.select(F.spark_partition_id().alias("task")).distinct().count() > 1
