@@ -200,7 +200,7 @@ def _(spark, folder):
 @query("t14_recursive_elimination")
 def _(spark, folder):
     train, _, names = game_sets(spark, folder)
-    return P.eliminate(train, names, 3, E.forest(5, 5)).table(spark)
+    return P.eliminate(train, names, 3, H.HistogramForest(CLASSES, 5, 5), keys=LOG.keys).table(spark)
 
 
 @query("t15_elimination_sweep")

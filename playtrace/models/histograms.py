@@ -197,10 +197,15 @@ class Column(Weights):
 
 def chosen_features(features: int, subset: int, seed: int, path: int) -> np.ndarray:
     """``subset`` features for one node, from the seed and the node's place alone: a deeper fit repeats a shallower one."""
-    if subset >= features:
-        return np.arange(features)
+    return chosen_among(np.arange(features), features, subset, seed, path)
+
+
+def chosen_among(left: np.ndarray, features: int, subset: int, seed: int, path: int) -> np.ndarray:
+    """``chosen_features`` where only some are ``left``: a node keeps those it chose before and fills up with the next ones."""
+    if subset >= len(left):
+        return left
     draw = uniform(np.arange(features) + np.int64((path * 1_000_003) % (1 << 61)), seed)
-    return np.sort(np.argsort(draw, kind="stable")[:subset])
+    return np.sort(left[np.argsort(draw[left], kind="stable")[:subset]])
 
 
 def chosen_of_all(features: int, subset: int, seed: int, paths: list[int]) -> np.ndarray:
@@ -351,6 +356,13 @@ def best_cuts(rows: DataFrame, columns: list[str], trees: list[Tree], open_: lis
     kind = "slot int, feature int, bin int, " + ", ".join(f"{s} double" for s in sums)
     cells = reduce(DataFrame.unionAll, [needed.mapInArrow(counter(lot), kind) for lot in range(lots)])
     cells = cells.groupBy("slot", "feature", "bin").agg(*[F.sum(s).alias(s) for s in sums])
+    found = _best_by_slot(cells.repartition("slot"), least)
+    told.destroy()
+    return found
+
+
+def _best_by_slot(cells: DataFrame, least: float) -> dict[int, tuple]:
+    """Best cut of each slot from its cells (slot, feature, bin, class sums), which are in one partition."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -365,11 +377,9 @@ def best_cuts(rows: DataFrame, columns: list[str], trees: list[Tree], open_: lis
             yield _best_of(rest, least)
 
     # All cells of a node are at most its features times the bins.
-    sorted_ = cells.repartition("slot").sortWithinPartitions("slot", "feature", "bin")
+    sorted_ = cells.sortWithinPartitions("slot", "feature", "bin")
     best = sorted_.mapInArrow(choose, "slot int, gain double, feature int, bin int, left array<double>, whole array<double>").toArrow().to_pylist()
-    found = {r["slot"]: (r["gain"], r["feature"], r["bin"], np.array(r["left"]), np.array(r["whole"])) for r in best}
-    told.destroy()
-    return found
+    return {r["slot"]: (r["gain"], r["feature"], r["bin"], np.array(r["left"]), np.array(r["whole"])) for r in best}
 
 
 def _best_of(batches: list[pa.RecordBatch], least: float) -> pa.RecordBatch:
@@ -618,6 +628,128 @@ class HistogramForest:
         return self.fit_folds(binned(train, self.classes), 0)[-1]
 
 
+class ShrinkingForest:
+    """Forests over fewer and fewer features of one table, from one store of cuts.
+
+    A tree's sample does not depend on the features left, and a node chooses among them in an order of its own
+    (``chosen_among``). So a feature that goes changes a node only where it was chosen, and what hangs below. The best cuts of a node
+    by ``AHEAD`` times as many features as it looks at, the next in its order, are found when a tree first comes to the node, and again
+    when these are used up: rows are read for such nodes alone, once a level for those of all trees. The driver keeps
+    the cuts of the last forest's nodes; so this is for trees of bounded depth.
+    """
+
+    AHEAD = 3
+
+    def __init__(self, table: Binned, forest: HistogramForest):
+        self.table, self.forest = table, forest
+        self.left = np.arange(len(table.edges))
+        self.seeds = [forest._seed(0, i) for i in range(forest.trees)]
+        self.weights = Bootstrap(Weights([-1]), [0] * forest.trees, self.seeds if forest.bootstrap else [-1] * forest.trees)
+        self.known: dict[tuple, tuple[set, list[tuple]]] = {}  # (tree, cuts on the way) -> features asked for, best cuts by them
+        self.roots: dict[int, np.ndarray] = {}
+        self.passes = 0
+        self.blocks = materialize(self._packed(), "blocks")
+
+    def _packed(self) -> DataFrame:
+        """A row for each block of rows: bins feature by feature, labels, and how often each tree draws each row."""
+        weights, trees, features = self.weights, len(self.seeds), len(self.table.edges)
+        ship(self.table.rows.sparkSession)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _parts(batches, features):
+                drawn = np.stack([weights.of(part, m) for m in range(trees)]).astype(np.uint8)  # whole numbers of 18 at most
+                columns = [np.ascontiguousarray(part.bins.T), part.label.astype(np.int32), drawn]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["bins", "label", "drawn"])
+
+        return self.table.rows.select("bins", "label", "row").mapInArrow(pack, "bins binary, label binary, drawn binary")
+
+    def fit(self, left: list[int]) -> Ensemble:
+        """The forest over the features ``left``, which are among those of the fit before."""
+        if not set(left) <= set(self.left.tolist()):
+            raise ValueError("a feature is back that had gone")
+        self.left = np.sort(np.asarray(left, np.int64))
+        forest, features, used = self.forest, len(self.table.edges), {}
+        width = forest._width(len(self.left))
+        trees = [Tree() for _ in self.seeds]
+        open_: list[tuple[int, int, tuple]] = [(m, 0, ()) for m in range(len(trees))]
+        for _ in range(forest.depth):
+            looked = [chosen_among(self.left, features, width, self.seeds[m], trees[m].path[node]).tolist() for m, node, _ in open_]
+            asked = [self.known.get((m, way), (set(), []))[0] for m, _, way in open_]
+            self._ask(trees, [at for at, new, old in zip(open_, looked, asked) if not old.issuperset(new)], self.AHEAD * width)
+            after = []
+            for (m, node, way), among in zip(open_, map(set, looked)):
+                tree, (_, cuts) = trees[m], self.known[m, way]
+                used[m, way] = self.known[m, way]
+                best = max((c for c in cuts if c[1] in among), key=lambda c: (c[0], -c[1]), default=None)
+                if best is None or best[0] <= LEAST_GAIN * best[4].sum():
+                    continue
+                gain, feature, cut, on_left, whole = best
+                tree.sums[node] = whole
+                for side, child in enumerate(tree.split(node, feature, cut, on_left, np.maximum(whole - on_left, 0.0), gain)):
+                    sums = tree.sums[child]
+                    if (sums > 0).sum() > 1 and sums.sum() >= 2 * forest.least:
+                        after.append((m, child, (*way, (feature, cut, side))))
+            open_ = after
+        self.known = used
+        for m, sums in self.roots.items():
+            trees[m].sums[0] = sums
+        _fill_roots(self.table, trees, self.weights, [])
+        self.roots = {m: tree.sums[0] for m, tree in enumerate(trees)}
+        return Ensemble(trees, self.table.edges, forest.classes)
+
+    def _ask(self, trees: list[Tree], fresh: list[tuple[int, int, tuple]], width: int) -> None:
+        if not fresh:
+            return
+        self.passes += 1
+        features, classes, total = len(self.table.edges), self.table.classes, len(trees)
+        nodes = [OpenNode(m, node, chosen_among(self.left, features, width, self.seeds[m], trees[m].path[node])) for m, node, _ in fresh]
+        told = self.table.rows.sparkSession.sparkContext.broadcast([(m, way, node.features) for (m, _, way), node in zip(fresh, nodes)])
+        sums = [f"w{c}" for c in range(classes)]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in range(len(batch)):
+                    plain = lambda name, kind: np.frombuffer(batch.column(name)[block].as_buffer(), kind)
+                    label = plain("label", np.int32)
+                    yield cells(plain("bins", np.uint8).reshape(features, len(label)), label, plain("drawn", np.uint8).reshape(total, len(label)))
+
+        def cells(bins: np.ndarray, label: np.ndarray, drawn: np.ndarray) -> pa.RecordBatch:
+            places: dict[tuple, np.ndarray] = {}
+
+            def rows_of(m: int, way: tuple) -> np.ndarray:
+                if (m, way) not in places:
+                    if way:
+                        rows, (feature, cut, side) = rows_of(m, way[:-1]), way[-1]
+                        places[m, way] = rows[(bins[feature][rows] > cut) == side]
+                    else:
+                        places[m, way] = np.flatnonzero(drawn[m])
+                return places[m, way]
+
+            held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, classes)))]
+            for slot, (m, way, asked) in enumerate(told.value):
+                rows = rows_of(m, way)
+                own, weight = label[rows].astype(np.int64), drawn[m][rows].astype(float)
+                for feature in asked.tolist() if len(rows) else []:
+                    found = np.bincount(bins[feature][rows].astype(np.int64) * classes + own, weight, 256 * classes).reshape(256, classes)
+                    filled = np.flatnonzero(found.any(1))
+                    held.append((np.full(len(filled), slot * features + feature), filled, found[filled]))
+            slots, filled, found = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slots, pa.int32()), pa.array(slots % features, pa.int32()), pa.array(filled, pa.int32()), *[pa.array(found[:, c]) for c in range(classes)]],
+                ["slot", "feature", "bin", *sums])
+
+        # A slot is a node and a feature: the best cut by each feature is wanted.
+        kind = "slot int, feature int, bin int, " + ", ".join(f"{s} double" for s in sums)
+        added = self.blocks.mapInArrow(count, kind).repartition("slot").groupBy("slot", "feature", "bin").agg(*[F.sum(s).alias(s) for s in sums])
+        found = _best_by_slot(added, self.forest.least)
+        told.destroy()
+        for (m, _, way), node in zip(fresh, nodes):
+            self.known[m, way] = (set(node.features.tolist()), [])
+        for number, cut in found.items():
+            m, _, way = fresh[number // features]
+            self.known[m, way][1].append(cut)
+
+
 class Raised(Weights):
     """Boosting weights: what each stump of a model so far missed is heavier by its amount."""
 

@@ -163,3 +163,37 @@ def test_draws_are_dealt_over_tasks(data):
     index = L.ClassIndex(data.select("id", "label"), "label", ["id"])
     drawn = index._drawn_numbers("over", list(range(20)))
     assert drawn.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_shrinking_forests_read_rows_only_for_new_nodes_and_equal_forests_grown_anew(spark):
+    rng = np.random.default_rng(11)
+    matrix = rng.integers(0, 6, (600, 8)).astype(float)
+    label = ((matrix[:, 0] > 2).astype(int) + (matrix[:, 1] > 3)).astype(float)
+    rows = [(i, v.tolist(), y) for i, (v, y) in enumerate(zip(matrix, label.tolist()))]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>, label double")
+    table = H.binned(df.withColumn("features", array_to_vector("v")), 3, ["k"])
+    forest = H.HistogramForest(3, 3, 3)
+    same = lambda a, b: all(x.feature == list(y.feature) and x.cut == list(y.cut) for x, y in zip(a.trees, b.trees))
+    shrinking = H.ShrinkingForest(table, forest)
+    left = list(range(8))
+    assert same(shrinking.fit(left), forest.fit_weighted(table, H.Weights([-1]), 1)[0])
+    fits = 1
+    while len(left) > 1:
+        weights = shrinking.fit(left).importances()
+        left.remove(min(left, key=lambda f: (weights[f], f)))
+        model, fits = shrinking.fit(left), fits + 1
+        assert same(model, H.ShrinkingForest(table, forest).fit(left))
+        assert {f for t in model.trees for f in t.feature} <= {-1, *left}
+    assert shrinking.passes < 2 * fits  # three levels each, were all grown anew
+
+
+def test_elimination_of_a_histogram_forest(spark, data):
+    names = ["a", "b", "c"]
+    learner = H.HistogramForest(3, 5, 4)
+    kept = {r["feature"]: r["ranking"] for r in P.eliminate(data, names, 2, learner, keys=["id"]).table(spark).collect()}
+    assert kept == {"a": 1, "b": 1, "c": 2}
+    sweep, best = P.elimination_sweep(data, data, names, learner, ["id"])
+    scores = {r["n_features"]: r["accuracy"] for r in sweep.collect()}
+    whole = learner.fit_weighted(H.binned(data, 3, ["id"]), H.Weights([-1]), 1)[0].predict(data)
+    assert sorted(scores) == [1, 2, 3] and scores[best] == max(scores.values())
+    assert abs(scores[3] - whole.agg(M.accuracy_of("label", "prediction")).first()[0]) < 1e-12
