@@ -206,7 +206,7 @@ def _(spark, folder):
 @query("t15_elimination_sweep")
 def _(spark, folder):
     train, test, names = game_sets(spark, folder)
-    table, best = P.elimination_sweep(train, test, names, E.forest(5, 5))
+    table, best = P.elimination_sweep(train, test, names, H.HistogramForest(CLASSES, 5, 5), LOG.keys)
     return table.withColumn("is_best", F.col("n_features") == best)
 
 
