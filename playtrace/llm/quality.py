@@ -33,7 +33,6 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 def base_measures(text: Column, window: int = 8) -> list[tuple[str, Column]]:
     """Word and line measures of a text, in the order to add them; later ones use earlier ones."""
     text = F.coalesce(text, F.lit(""))
-    runs = F.transform(F.sequence(F.lit(1), F.size("codes") - (window - 1)), lambda i: F.xxhash64(F.slice("codes", i, window)))
     return [
         ("words", words_of(text)),
         ("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint")),
@@ -42,12 +41,22 @@ def base_measures(text: Column, window: int = 8) -> list[tuple[str, Column]]:
         ("n_words", F.size("words").cast("bigint")),
         ("word_chars", F.length(F.concat_ws("", "words")).cast("bigint")),
         ("codes", F.transform("words", lambda w: F.xxhash64(w))),
-        ("runs", F.when(F.size("codes") >= window, runs).otherwise(F.array().cast("array<bigint>"))),
+        ("runs", F.when(F.size("codes") >= window, run_codes(F.col("codes"), window)).otherwise(F.array().cast("array<bigint>"))),
         ("n_repeat_words", F.when(F.size(F.array_distinct("runs")) == F.size("runs"), F.lit(0))
          .otherwise(_covered("runs", window)).cast("bigint")),
     ]
 
 
+def run_codes(codes: Column, window: int) -> Column:
+    """Hash of each run of ``window`` codes of an array of at least as many: of two runs half as long, and so on down to codes."""
+    if window == 1:
+        return codes
+    half = (window + 1) // 2
+    joint = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - (window - half)), F.slice(h, window - half + 1, F.size(h)),
+                                 lambda a, b: F.xxhash64(a, b))
+    return bound(run_codes(codes, half), joint)
+
+
 def _covered(runs: str, window: int) -> Column:
     """Words in runs that occur twice: sorted by hash, equal runs are neighbours; their starts, sorted, give the union."""
     placed = F.sort_array(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -79,7 +88,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: ``ratios``, the log ratio of every bucket."""
     trusted = trusted_ids(labels).where("trusted").select("doc_id", F.lit(1).alias("is_target"))
-    grams = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select(
+    # One plan at any size: texts are dealt by doc_id once and never sorted; a task holds the trusted ids of its share.
+    grams = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left").select(
         "is_target", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_target").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
