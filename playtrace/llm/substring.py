@@ -49,11 +49,14 @@ def candidate_starts(n_words: int, single: np.ndarray, length: int) -> np.ndarra
     width, n = length - PERIOD + 1, n_words - length + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    steps = np.zeros(n_words + 1, np.int32)
-    repeated = np.setdiff1d(anchor_places(n_words, width), single, assume_unique=True)
-    np.add.at(steps, np.maximum(repeated - (PERIOD - 1), 0), 1)
-    np.add.at(steps, repeated + 1, -1)
-    return np.flatnonzero(np.cumsum(steps[:n]))
+    places, alone = anchor_places(n_words, width), np.zeros(n_words, bool)
+    alone[single[single < n_words]] = True
+    repeated = places[~alone[places]]
+    if not len(repeated):
+        return np.empty(0, np.int64)
+    begins = np.bincount(np.maximum(repeated - (PERIOD - 1), 0), minlength=n_words + 1)
+    ends = np.bincount(repeated + 1, minlength=n_words + 1)
+    return np.flatnonzero(np.cumsum((begins - ends)[:n]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -101,12 +104,24 @@ def _candidates(joined: DataFrame, length: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            ids, hashes, held = [], [], 0
             for doc, text, single in zip(frame["doc"], frame["text"], frame["single"]):
                 words = word_hashes(text)
                 found = _passages(words, candidate_starts(len(words), _singles(single), length), length)
                 if len(found):
                     found = found[np.unique(found[:, 0], return_index=True)[1]]  # within one text half the hash tells
-                    yield pd.DataFrame({"doc": np.full(len(found), doc, np.int64), "h1": found[:, 0], "h2": found[:, 1]})
+                    ids.append(np.full(len(found), doc, np.int64))
+                    hashes.append(found)
+                    held += len(found)
+                if held > 500_000:
+                    yield table(ids, hashes)
+                    ids, hashes, held = [], [], 0
+            if held:
+                yield table(ids, hashes)
+
+    def table(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pd.DataFrame:
+        both = np.concatenate(hashes)
+        return pd.DataFrame({"doc": np.concatenate(ids), "h1": both[:, 0], "h2": both[:, 1]})
 
     return joined.mapInPandas(run, "doc bigint, h1 bigint, h2 bigint")
 
