@@ -6,8 +6,9 @@ softmax are trained together, by Adam over batches of texts. A misspelt word sha
 most of its vector. Words that many texts of the sample hold count less in the mean (their weight falls with that share).
 
 Training takes a bounded sample of labelled texts, at most ``SAMPLE`` of each class, the first by a hash of doc_id; it
-learns on the driver from those alone. Since all layers are linear, the trained model comes down to one number an n-gram
-bucket and the weight of a word, which is what goes to the tasks: its size is fixed by ``BUCKETS`` and the sample.
+learns in a task from those alone, so the driver never holds texts. Since all layers are linear, the trained model comes
+down to one number an n-gram bucket and the weight of a word, which is what the driver gets and sends to the tasks: its
+size is fixed by ``BUCKETS``.
 
 Defined results: a null, empty or wordless text scores the model's bias alone; repeated rows score alike; labels without a
 document or of null value train nothing, of several labels of a document the largest counts; with labels of one class only
@@ -182,21 +183,34 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``each`` labelled texts of either class, held-out ones never, the first by a hash of doc_id."""
+def sample_of(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic): at most ``each`` labelled texts of either class, held-out ones never, the first by a hash of doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for kind in (0, 1):
         some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    found = rows.orderBy("doc_id").toPandas()  # 2 * each rows at most
-    return found["text"].tolist(), found["toxic"].tolist()
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> ToxicityModel:
-    return trained(*sample_of(docs, labels, each))
+    """The model of the sample, trained in one task on its 2 * ``each`` rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, kinds = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            kinds += batch.column(1).to_pylist()
+        model = trained(texts, kinds)
+        yield pa.record_batch([pa.array([x], kind) for x, kind in (
+            (model.logits.tobytes(), pa.binary()), (model.weights.tobytes(), pa.binary()), (model.bias, pa.float64()))], names=["logits", "weights", "bias"])
+
+    rows = sample_of(docs, labels, each).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    found = rows.mapInArrow(run, "logits binary, weights binary, bias double").collect()
+    if not found:  # without a sample there may be no task
+        return trained([], [])
+    return ToxicityModel(np.frombuffer(found[0]["logits"]), np.frombuffer(found[0]["weights"]), found[0]["bias"])
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -1,11 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns; against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from playtrace.llm import bpe, decontamination, licenses, line_dedup, minhash, quality, sharding, substring, toxicity
 
@@ -314,6 +317,24 @@ def test_toxicity_edges(spark, messy, messy_rows, nothing):
     assert toxicity.without_toxic(messy, model).columns == messy.columns
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch, tmp_path):
+    train, noted = toxicity.trained, tmp_path / "process"
+
+    def watched(texts, kinds):
+        noted.write_text(str(os.getpid()))
+        return train(texts, kinds)
+
+    monkeypatch.setattr(toxicity, "trained", watched)
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words of number{i}" if i != 8 else None, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fitted(docs.drop("toxic"), docs.drop("text"))
+    assert int(noted.read_text()) != os.getpid()
+    learned = docs.where(~toxicity.is_held_out(F.col("doc_id"))).orderBy("doc_id").collect()
+    same = train([r["text"] for r in learned], [r["toxic"] for r in learned])
+    assert np.array_equal(model.logits, same.logits) and np.array_equal(model.weights, same.weights) and model.bias == same.bias
+    assert model.logits.any()
+
+
 def test_licences(spark, messy, nothing):
     lines = ["Plain words of no interest", "Licensed under the Apache License, Version 2.0.", "more words", "Released under the MIT License."]
     docs = messy.select("doc_id", "text").union(spark.createDataFrame([(60, "\n".join(lines)), (61, None), (62, lines[1].upper())], "doc_id bigint, text string"))
