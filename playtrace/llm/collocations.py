@@ -9,9 +9,10 @@ an entry of another prefix; entries are grouped by their last words for it.)
 Prefixes grow one word a pass. Only phrases with both parts, all but the last word and all but the first, frequent can be frequent
 themselves, so entries whose parts are rare join the entry for *any other*. What is frequent is told to the tasks by a Bloom
 filter of a fixed number of bits: its mistakes let rare phrases through to the exact count, never lose any. Words are compared as text, not
-as hashes. A partial stripe travels as one row: its prefix once, its next words and their counts side by side. Stripes of the empty prefix and
-of prefixes that occur ``HOT`` times or more may be fed by every task and hold a large vocabulary; they are dealt over ``STRIPE_PARTS`` by a hash of the
-next word, and entries are added as rows before they are put together, so no task holds a whole one.
+as hashes. The partial stripes of a piece of text are dealt over ``PARTS`` by a hash of the prefix, and those of a part travel as one row: each prefix
+once, all entries (number of the prefix, next word, count) side by side. Stripes of the empty prefix and of prefixes that occur ``HOT`` times or
+more may be fed by every task and hold a large vocabulary; they are dealt over up to ``STRIPE_PARTS`` of the parts by a hash of the next word, and
+entries are added as rows before they are put together, so no task holds a whole one.
 
 Everything is per language. Null texts and texts without words add nothing, null languages are ``und``, texts of any length are read
 piece by piece, repeated rows count each time, ties are settled by the order of the result. An empty table gives no rows. Further
@@ -38,6 +39,7 @@ BLOOM_HASHES = 3
 HOT = 100_000
 HOT_BITS = 1 << 22
 STRIPE_PARTS = 64
+PARTS = 1024
 PART_BYTES = 8 << 20
 UNKNOWN = "und"
 REST = ""  # stands for any other next word and for none; no word is empty
@@ -166,9 +168,9 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarray], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of the prefixes of ``words`` words in ``texts``: (lang, prefix, part, nexts, counts).
+    """Stripes of the prefixes of ``words`` words in ``texts``, a row for each part: (lang, part, prefixes, owners, nexts, counts).
 
-    ``known`` holds the frequent words and the frequent phrases of ``words`` words, ``hot`` the prefixes whose stripes are dealt
+    Entry k of a row counts ``counts[k]`` times the next word ``nexts[k]`` after prefix ``prefixes[owners[k]]``. ``known`` holds the frequent words and the frequent phrases of ``words`` words, ``hot`` the prefixes whose stripes are dealt
     over parts (without it all are).
     """
     seed = text_hashes(pa.array([lang.encode()], pa.binary()))[0]
@@ -190,28 +192,40 @@ def partial_stripes(lang: str, texts: pa.Array, words: int, known: list[np.ndarr
         sample = np.empty(len(pair), np.int64)
         sample[code] = at
         owner, then = pair // (len(distinct) + 1), pair % (len(distinct) + 1) - 1
-        part = np.where(then >= 0, hashed[then] % np.uint64(STRIPE_PARTS), 0).astype(np.int64)
+        lead = np.full(len(pair), seed, np.uint64)
+        if words:
+            lead[code] = prefix
+        share = np.where(then >= 0, hashed[then] % np.uint64(STRIPE_PARTS), np.uint64(0))
         if hot is not None:
-            spread = np.zeros(len(word), bool)
-            spread[at] = holds(hot, prefix)
-            part *= spread[sample]
-        order = np.argsort(owner * STRIPE_PARTS + part, kind="stable")
+            share *= holds(hot, lead)
+        part = (extended(lead, share) % np.uint64(PARTS)).astype(np.int64)
+        span = owner.max(initial=0) + 1
+        order = np.argsort(part * span + owner, kind="stable")
         often, sample, owner, then, part = often[order], sample[order], owner[order], then[order], part[order]
-        group = owner * STRIPE_PARTS + part
-        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
-        bounds = pa.array(np.r_[begins, len(group)].astype(np.int32))
+        rows = _begins(part)
+        stems = _begins(part * span + owner)
+        first = np.searchsorted(stems, rows)  # first prefix of each row
+        place = np.repeat(np.arange(len(stems)), np.diff(stems, append=len(part))) - np.repeat(first, np.diff(rows, append=len(part)))
+        bounds = pa.array(np.r_[rows, len(part)].astype(np.int32))
         nexts = distinct.take(pa.array(np.maximum(then, 0))).cast(pa.binary())
         nexts = pc.if_else(pa.array(then >= 0), nexts, pa.scalar(REST.encode(), pa.binary())).cast(pa.string())
-        places = sample[begins]
+        places = sample[stems]
         if words:
             parts = [distinct.take(pa.array(word[places + k])).cast(pa.binary()).cast(pa.string()) for k in range(words)]
             prefixes = pc.binary_join_element_wise(*parts, " ")
         else:
             prefixes = pa.array([""] * len(places), pa.string())
         yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(places), pa.string()), prefixes, pa.array(part[begins].astype(np.int32)),
+            pa.array([lang] * len(rows), pa.string()), pa.array(part[rows].astype(np.int32)),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[first, len(stems)].astype(np.int32)), prefixes), "\n"),
+            pa.ListArray.from_arrays(bounds, pa.array(place.astype(np.int32))),
             pc.binary_join(pa.ListArray.from_arrays(bounds, nexts), " "), pa.ListArray.from_arrays(bounds, pa.array(often.astype(np.int32)))],
-            ["lang", "prefix", "part", "nexts", "counts"])
+            ["lang", "part", "prefixes", "owners", "nexts", "counts"])
+
+
+def _begins(groups: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.empty(0, np.int64)
 
 
 def _frequent_prefixes(word, left, hashed, seed, words: int, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,9 +271,11 @@ def stripes_of(docs: DataFrame, words: int, known: list[np.ndarray], hot: np.nda
                 yield from partial_stripes(lang, batch.column(1).filter(pc.equal(langs.indices, code)), words, *spread.value)
 
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter(F.col("text").isNotNull())
-    partial = rows.mapInArrow(build, "lang string, prefix string, part int, nexts string, counts array<int>").repartition("lang", "prefix", "part")
-    entry = F.arrays_zip(F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))
-    added = partial.select("lang", "prefix", "part", F.inline(entry).alias("next", "n")).groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
+    partial = rows.mapInArrow(build, "lang string, part int, prefixes string, owners array<int>, nexts string, counts array<int>").repartition("lang", "part")
+    entry = F.arrays_zip(F.col("owners").alias("owner"), F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))
+    # Prefixes are split in a step of their own: beside the generator it would be done again for every entry.
+    single = partial.withColumn("prefixes", F.split("prefixes", "\n")).select("lang", "part", "prefixes", F.inline(entry).alias("owner", "next", "n"))
+    added = single.select("lang", F.col("prefixes")[F.col("owner")].alias("prefix"), "part", "next", "n").groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
     named = (F.col("next") != REST) & (F.col("n") >= OFTEN)
     entries = F.map_from_entries(F.collect_list(F.when(named, F.struct("next", "n"))))
     return added.groupBy("lang", "prefix", "part").agg(entries.alias("next"), F.sum("n").alias("total"), F.max(F.when(named, F.col("n"))).alias("top"))
