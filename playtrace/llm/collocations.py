@@ -39,7 +39,7 @@ BLOOM_HASHES = 3
 HOT = 100_000
 HOT_BITS = 1 << 22
 STRIPE_PARTS = 64
-PARTS = 1024
+PARTS = 4096
 PART_BYTES = 8 << 20
 UNKNOWN = "und"
 REST = ""  # stands for any other next word and for none; no word is empty
@@ -271,7 +271,8 @@ def stripes_of(docs: DataFrame, words: int, known: list[np.ndarray], hot: np.nda
                 yield from partial_stripes(lang, batch.column(1).filter(pc.equal(langs.indices, code)), words, *spread.value)
 
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter(F.col("text").isNotNull())
-    partial = rows.mapInArrow(build, "lang string, part int, prefixes string, owners array<int>, nexts string, counts array<int>").repartition("lang", "part")
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task holds its entries twice, as they come and as they are added
+    partial = rows.mapInArrow(build, "lang string, part int, prefixes string, owners array<int>, nexts string, counts array<int>").repartition(tasks, "lang", "part")
     entry = F.arrays_zip(F.col("owners").alias("owner"), F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))
     # Prefixes are split in a step of their own: beside the generator it would be done again for every entry.
     single = partial.withColumn("prefixes", F.split("prefixes", "\n")).select("lang", "part", "prefixes", F.inline(entry).alias("owner", "next", "n"))
