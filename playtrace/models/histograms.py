@@ -30,8 +30,10 @@ from playtrace.runtime import materialize, ship
 
 MAX_BINS = 32
 ROWS_PER_TASK = 50_000
+ROWS_ALONE = 1_500_000  # whose bins a task may hold besides what growing a tree takes
 TASKS_AT_ONCE = 32  # few parts of rows are read for several lots of models
 DENSE_CELLS = 1 << 20  # beyond it, and beyond eight for each value, cells are found by sorting
+ROWS_AT_ONCE, CELLS_AT_ONCE = 1 << 16, 1 << 19  # of nodes that are looked at together
 LEAST_GAIN = 1e-9
 
 # --- bins ---
@@ -90,22 +92,22 @@ def _batch_rows(batch: pa.RecordBatch, features: int) -> Rows:
     return Rows(data, plain("label").astype(np.int64), plain("row") if "row" in batch.schema.names else np.arange(len(batch)), more)
 
 
+def _joined(held: list[Rows]) -> Rows:
+    more = {n: np.concatenate([r.more[n] for r in held]) for n in held[0].more}
+    return Rows(*[np.concatenate([getattr(r, n) for r in held]) for n in ("bins", "label", "row")], more)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[Rows]:
     """The rows of a task, a few times ``ROWS_PER_TASK`` at most in one piece."""
     held: list[Rows] = []
-
-    def joined() -> Rows:
-        more = {n: np.concatenate([r.more[n] for r in held]) for n in held[0].more}
-        return Rows(*[np.concatenate([getattr(r, n) for r in held]) for n in ("bins", "label", "row")], more)
-
     for batch in batches:
         if len(batch):
             held.append(_batch_rows(batch, features))
         if sum(len(r.label) for r in held) >= 4 * ROWS_PER_TASK:
-            yield joined()
+            yield _joined(held)
             held = []
     if held:
-        yield joined()
+        yield _joined(held)
 
 
 # --- trees ---
@@ -144,6 +146,23 @@ class Tree:
             node = np.where(inner, child[node] + (bins[every, np.maximum(f, 0)] > cut[node]), node)
         return node
 
+    def nodes_at(self, bins: np.ndarray, depths: list[int]) -> list[np.ndarray]:
+        """``nodes_of`` for each of the ascending ``depths``, on one way down."""
+        feature, cut, child = np.array(self.feature), np.array(self.cut), np.array(self.child)
+        flat, features, out = np.ascontiguousarray(bins).reshape(-1), bins.shape[1], []
+        node, rows, done = np.zeros(len(bins), np.int64), np.arange(len(bins)), 0
+        for depth in depths:
+            for _ in range(done, depth):
+                own = node[rows]
+                inner = feature[own] >= 0
+                rows, own = rows[inner], own[inner]
+                if not len(rows):
+                    break
+                node[rows] = child[own] + (flat.take(rows * features + feature[own]) > cut[own])
+            out.append(node.copy())
+            done = depth
+        return out
+
     def leaf_shares(self) -> np.ndarray:
         """Class shares of every node, by node number."""
         sums = np.asarray(self.sums)
@@ -208,13 +227,13 @@ def chosen_among(left: np.ndarray, features: int, subset: int, seed: int, path:
     return np.sort(left[np.argsort(draw[left], kind="stable")[:subset]])
 
 
-def chosen_of_all(features: int, subset: int, seed: int, paths: list[int]) -> np.ndarray:
-    """``chosen_features`` of several nodes, a row for each."""
+def chosen_of_all(features: int, subset: int, seed: int, paths: np.ndarray) -> np.ndarray:
+    """``chosen_features`` of several nodes, a row for each; places beyond 40 levels are Python's whole numbers."""
     if subset >= features:
         return np.tile(np.arange(features), (len(paths), 1))
-    places = np.array([(path * 1_000_003) % (1 << 61) for path in paths], np.int64)
+    places = (paths * 1_000_003 % (1 << 61)).astype(np.int64)
     draw = uniform(np.arange(features)[None, :] + places[:, None], seed)
-    return np.sort(np.argsort(draw, axis=1, kind="stable")[:, :subset], axis=1)
+    return np.sort(np.argpartition(draw, subset - 1, axis=1)[:, :subset], axis=1)
 
 
 @dataclass
@@ -240,74 +259,153 @@ def _cells(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, at: np.ndarr
     return filled // (width * top), filled // top % width, filled % top, total
 
 
-def _level(cells: tuple, least: float) -> tuple:
-    """(node, gain, place, cut, left sums, all sums) of the best cut of each node that has one; weights are whole numbers."""
-    node, place, bin_, total = cells
-    starts = np.r_[True, (node[1:] != node[:-1]) | (place[1:] != place[:-1])]
-    run, summed = np.cumsum(starts) - 1, total.cumsum(0)
-    first = np.flatnonzero(starts)
-    last = np.r_[first[1:], len(node)] - 1
-    before = summed[first] - total[first]
-    left, whole = summed - before[run], (summed[last] - before)[run]
-    right = np.maximum(whole - left, 0.0)
-    on_left, on_right, everything = left.sum(1), right.sum(1), whole.sum(1)
-    allowed = (last[run] != np.arange(len(node))) & (on_left >= least) & (on_right >= least) & (on_right > 0)
-    pure = lambda w, n: (w * w).sum(1) / np.where(n > 0, n, 1.0)
-    gain = np.where(allowed, pure(left, on_left) + pure(right, on_right) - pure(whole, everything), -np.inf)
-    fresh = np.r_[True, node[1:] != node[:-1]]
-    most = np.maximum.reduceat(gain, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-    hits = np.flatnonzero((gain == most) & allowed)
-    hits = hits[np.unique(node[hits], return_index=True)[1]]  # the first feature and bin of equals
-    return node[hits], gain[hits], place[hits], bin_[hits], left[hits], whole[hits]
-
+def _cuts(flat: np.ndarray, base: np.ndarray, label: np.ndarray, weight: np.ndarray | None, at: np.ndarray, asked: np.ndarray, tops: np.ndarray, classes: int, leasts: list[float]) -> list[tuple]:
+    """For each of ``leasts`` (node, gain, place, cut, left sums, all sums) of the best cut of each node that has one.
 
-def _alone(part: Rows, weight: np.ndarray, classes: int, depth: int, subset: int, seed: int, least: float) -> Tree:
-    """A tree over rows that are all in ``part``: at each level the cuts that ``best_cuts`` finds."""
-    use = np.flatnonzero(weight > 0)
-    bins, label, weight = part.bins[use], part.label[use], weight[use]
-    feature, cut, child = (np.full(1, v) for v in (-1, 0, 0))
-    gain, sums, path = np.zeros(1), np.bincount(label, weight, classes)[None, :], [1]
-    open_, at = np.zeros(1, np.int64), np.zeros(len(use), np.int64)
+    Row i is in node ``at[i]``, its bins begin at ``base[i]`` of ``flat`` and are below ``tops``; weights are whole numbers, 1 without any.
+    """
+    width = asked.shape[1]
+    bins = tops[asked].ravel()
+    ends = np.cumsum(bins)
+    start, size = ends - bins, int(ends[-1])
+    total, begin = np.zeros((classes, size)), start.reshape(asked.shape)
+    for i in range(0, len(base), ROWS_AT_ONCE):
+        own = at[i : i + ROWS_AT_ONCE]
+        cell = flat.take(asked[own] + base[i : i + ROWS_AT_ONCE, None]) + begin[own]
+        cell += (label[i : i + ROWS_AT_ONCE] * size)[:, None]
+        amounts = None if weight is None else np.repeat(weight[i : i + ROWS_AT_ONCE], width)
+        total += np.bincount(cell.ravel(), amounts, classes * size).reshape(classes, size)
+    filled = np.flatnonzero(total.sum(0))
+    run, total = np.repeat(np.arange(len(bins)), bins)[filled], total[:, filled]
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    cells = np.diff(np.r_[first, len(run)])  # of each node and feature
+    left = total.cumsum(1)
+    before = left[:, first] - total[:, first]
+    whole = left[:, first + cells - 1] - before
+    left -= np.repeat(before, cells, axis=1)
+    right = np.repeat(whole, cells, axis=1) - left
+    on_left, on_right = left.sum(0), right.sum(0)
+    gain = (left * left).sum(0) / on_left + (right * right).sum(0) / np.where(on_right > 0, on_right, 1.0) - np.repeat((whole * whole).sum(0) / whole.sum(0), cells)
+    node = run // width
+    fresh = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    own_cells, of_run, out = np.diff(np.r_[fresh, len(node)]), np.repeat(np.arange(len(first)), cells), []
+    for least in leasts:
+        allowed = (on_left >= least) & (on_right >= least) & (on_right > 0)
+        most = np.maximum.reduceat(np.where(allowed, gain, -np.inf), fresh)
+        hits = np.flatnonzero((gain == np.repeat(most, own_cells)) & allowed)
+        hits = hits[np.r_[True, node[hits[1:]] != node[hits[:-1]]]] if len(hits) else hits  # the first feature and bin of equals
+        out.append((node[hits], gain[hits], run[hits] % width, filled[hits] - start[run[hits]], left[:, hits].T, whole[:, of_run[hits]].T))
+    return out
+
+
+def _lots(first: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Nodes one after another whose rows and cells are few enough to be looked at together, one node at least."""
+    ends, begin = np.cumsum(cells), 0
+    while begin < len(cells):
+        done = ends[begin - 1] if begin else 0
+        end = min(np.searchsorted(first, first[begin] + ROWS_AT_ONCE, "right") - 1, np.searchsorted(ends, done + CELLS_AT_ONCE, "right"))
+        end = max(begin + 1, int(end))
+        yield begin, end
+        begin = end
+
+
+def _alone_each(part: Rows, weight: np.ndarray, classes: int, depth: int, subset: int, seed: int, leasts: list[float]) -> list[Tree]:
+    """For each smallest leaf of ``leasts`` the tree over rows that are all in ``part``: at each level the cuts that ``best_cuts`` finds.
+
+    Trees that differ in their smallest leaf alone begin alike: as long as they cut alike, their rows are counted once.
+    """
+    use, features = np.flatnonzero(weight > 0), part.bins.shape[1]
+    flat, base, label, weight = part.bins.reshape(-1), use * features, part.label[use], weight[use]
+    tops = part.bins.max(0).astype(np.int64) + 1 if len(part.label) else np.ones(features, np.int64)
+    root, plain = np.bincount(label, weight, classes).astype(float), bool((weight == 1).all())
+    # Of each tree: feature, cut, child, gain and class sums by node.
+    grown_ = [[np.full(1, -1), np.zeros(1, int), np.zeros(1, int), np.zeros(1), root[None, :]] for _ in leasts]
+    # Of each open node: its place, and its number in each tree (-1 where the tree has cut otherwise).
+    path, number = np.ones(1, np.int64 if depth <= 40 else object), np.zeros((len(leasts), 1), np.int64)
+    at = np.zeros(len(use), np.int64)
     for _ in range(depth):
-        if not len(open_) or not len(at):
+        if not len(path) or not len(at):
             break
-        asked = chosen_of_all(part.bins.shape[1], subset, seed, [path[n] for n in open_])
-        slot, gains, place, cuts, left, whole = _level(_cells(bins, label, weight, at, asked, classes), least)
-        good = gains > LEAST_GAIN * whole.sum(1)
-        slot, gains, cuts, left, whole, asked_ = slot[good], gains[good], cuts[good], left[good], whole[good], asked[slot[good], place[good]]
-        split, count = open_[slot], len(feature)
-        feature[split], cut[split], gain[split], child[split] = asked_, cuts, gains, count + 2 * np.arange(len(slot))
-        both = np.stack([left, np.maximum(whole - left, 0.0)], 1).reshape(-1, classes)
-        path += [2 * path[n] + side for n in split for side in (0, 1)]
-        sums, gain = np.concatenate([sums, both]), np.r_[gain, np.zeros(len(both))]
-        feature, cut, child = np.r_[feature, np.full(len(both), -1)], np.r_[cut, np.zeros(len(both), int)], np.r_[child, np.zeros(len(both), int)]
-        further = ((both > 0).sum(1) > 1) & (both.sum(1) >= 2 * least)
-        open_ = count + np.flatnonzero(further)
-        # Rows go on to the children that are looked at again.
-        entry = np.full(len(asked), -1)
-        entry[slot] = np.arange(len(slot))
-        number, slot_of = np.cumsum(further) - 1, entry[at]
-        moved = np.flatnonzero(slot_of >= 0)
-        at = 2 * slot_of[moved] + (bins[moved, asked_[slot_of[moved]]] > cuts[slot_of[moved]])
-        stay = further[at] if len(at) else np.zeros(0, bool)
-        at, moved = number[at[stay]], moved[stay]
-        bins, label, weight = bins[moved], label[moved], weight[moved]
-    return Tree(feature.tolist(), cut.tolist(), child.astype(np.int32), [], sums, gain)  # places are of no more use
+        asked = chosen_of_all(features, subset, seed, path)
+        first = np.searchsorted(at, np.arange(len(path) + 1))  # rows are in order of their nodes
+        found: list[list[tuple]] = [[] for _ in leasts]
+        for begin, end in _lots(first, classes * tops[asked].sum(1)):
+            rows = slice(first[begin], first[end])
+            own = _cuts(flat, base[rows], label[rows], None if plain else weight[rows], at[rows] - begin, asked[begin:end], tops, classes, leasts)
+            for held, (slot, *rest) in zip(found, own):
+                held.append((slot + begin, *rest))
+        splits = []
+        for tree, held in enumerate(found):
+            slot, gain, place, cut, left, whole = (np.concatenate(x) for x in zip(*held))
+            good = np.flatnonzero((gain > LEAST_GAIN * whole.sum(1)) & (number[tree, slot] >= 0))
+            slot, cut = slot[good], cut[good]
+            splits.append((slot, gain[good], asked[slot, place[good]], cut, left[good], whole[good]))
+        key = [(slot * features + feature) * 256 + cut for slot, _, feature, cut, _, _ in splits]
+        entries, which = np.unique(np.concatenate(key), return_inverse=True)
+        which = np.split(which, np.cumsum([len(k) for k in key])[:-1])
+        e_slot, e_feature, e_cut = entries // 256 // features, entries // 256 % features, entries % 256
+        after = np.full((len(leasts), 2 * len(entries)), -1)
+        for tree, ((slot, gain, feature, cut, left, whole), entry) in enumerate(zip(splits, which)):
+            nodes, (features_, cuts_, child_, gain_, sums_) = number[tree, slot], grown_[tree]
+            features_[nodes], cuts_[nodes], child_[nodes], gain_[nodes] = feature, cut, len(features_) + 2 * np.arange(len(nodes)), gain
+            both = np.stack([left, np.maximum(whole - left, 0.0)], 1).reshape(-1, classes)
+            more = np.zeros(len(both), int)
+            grown_[tree] = [np.r_[features_, more - 1], np.r_[cuts_, more], np.r_[child_, more], np.r_[gain_, more.astype(float)], np.concatenate([sums_, both])]
+            further = ((both > 0).sum(1) > 1) & (both.sum(1) >= 2 * leasts[tree])
+            after[tree, (2 * entry[:, None] + [0, 1]).ravel()] = np.where(further, len(features_) + np.arange(len(both)), -1)
+        # Rows go on to the children that are looked at again, once for each way that trees cut their node.
+        open_ = np.flatnonzero((after >= 0).any(0))
+        path, number = (2 * np.repeat(path[e_slot], 2) + np.tile(np.arange(2), len(entries)))[open_], after[:, open_]
+        counts = first[e_slot + 1] - first[e_slot]
+        entry = np.repeat(np.arange(len(entries)), counts)
+        rows = np.arange(len(entry)) + np.repeat(first[e_slot] - np.cumsum(counts) + counts, counts)
+        child = 2 * entry + (flat.take(base[rows] + e_feature[entry]) > e_cut[entry])
+        place = np.full(2 * len(entries), -1)
+        place[open_] = np.arange(len(open_))
+        child = place[child]
+        stay = np.flatnonzero(child >= 0)
+        child = child[stay]
+        order = np.argsort(child.astype(np.uint16) if len(open_) <= 1 << 16 else child, kind="stable")
+        rows, at = rows[stay[order]], child[order]
+        base, label, weight = base[rows], label[rows], weight[rows]
+    return [Tree(f.tolist(), c.tolist(), k.astype(np.int32), [], sums, gain) for f, c, k, gain, sums in grown_]  # places are of no more use
+
+
+def _alone(part: Rows, weight: np.ndarray, classes: int, depth: int, subset: int, seed: int, least: float) -> Tree:
+    """A tree over rows that are all in ``part``."""
+    return _alone_each(part, weight, classes, depth, subset, seed, [least])[0]
+
+
+def _packed_rows(table: "Binned", columns: list[str]) -> DataFrame:
+    """(block, rows): the table's rows in compressed blocks, so many bytes that a task can hold all of them; written once."""
+    features = len(table.edges)
+    needed = table.rows.select(*[c for c in columns if c in table.rows.columns])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for i, part in enumerate(_parts(batches, features)):
+            block = (TaskContext.get().partitionId() << 32) + i
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zlib.compress(pickle.dumps(part, 5), 1)], pa.binary())], ["block", "rows"])
+
+    return materialize(needed.mapInArrow(pack, "block bigint, rows binary"), "packed")
 
 
 def over_one_part(table: "Binned", columns: list[str], lots: int, use, kind: str) -> DataFrame:
-    """``use(rows, lot)`` gives batches; each lot is a task of its own that holds the table's only part."""
-    spark, features = table.rows.sparkSession, len(table.edges)
+    """``use(rows, lot)`` gives batches; each lot is a task of its own that holds the whole table."""
+    spark = table.rows.sparkSession
     ship(spark)
-    needed = table.rows.select(*[c for c in columns if c in table.rows.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(_parts(batches, features))
-        for part in held:
-            yield from use(part, int(part.more["_lot"][0]))
+        lot, blocks = None, {}
+        for batch in batches:
+            for of, block, rows in zip(*(batch.column(c).to_pylist() for c in ("_lot", "block", "rows"))):
+                lot, blocks[block] = of, rows
+        if blocks:
+            yield from use(_joined([pickle.loads(zlib.decompress(blocks.pop(block))) for block in sorted(blocks)]), lot)
 
     each = spark.range(0, lots, 1, lots).withColumnRenamed("id", "_lot")
-    return each.crossJoin(F.broadcast(needed)).mapInArrow(run, kind)
+    return each.crossJoin(F.broadcast(_packed_rows(table, columns))).mapInArrow(run, kind)
 
 
 def best_cuts(rows: DataFrame, columns: list[str], trees: list[Tree], open_: list[OpenNode], weights: Weights, features: int, classes: int, least: float) -> dict[int, tuple]:
@@ -422,7 +520,7 @@ def grown(table: "Binned", weights: Weights, models: int, depth: int, subset: in
     subset, seeds = subset or features, seeds or [0] * models
     needed = ["bins", "label", "row", "fold", *(columns or [])]
     if table.one_part:
-        return _grown_alone(table, weights, models, depth, subset, seeds, least, needed)
+        return _unpacked(_tree_rows(table, weights, models, depth, subset, seeds, least, needed), models, table.classes)
     trees = [Tree() for _ in range(models)]
     open_ = [OpenNode(m, 0, chosen_features(features, subset, seeds[m], 1)) for m in range(models)]
     for _ in range(depth):
@@ -445,8 +543,8 @@ def grown(table: "Binned", weights: Weights, models: int, depth: int, subset: in
     return trees
 
 
-def _grown_alone(table: "Binned", weights: Weights, models: int, depth: int, subset: int, seeds: list[int], least: float, columns: list[str]) -> list[Tree]:
-    """``grown`` over a table of one part: one job, in which each task grows some of the trees."""
+def _tree_rows(table: "Binned", weights: Weights, models: int, depth: int, subset: int, seeds: list[int], least: float, columns: list[str]) -> DataFrame:
+    """(m, tree): ``models`` trees, packed, from one job in which each task grows some of them over the whole table."""
     told = table.rows.sparkSession.sparkContext.broadcast((weights, seeds))
     lots, classes = min(models, TASKS_AT_ONCE), table.classes
 
@@ -456,8 +554,11 @@ def _grown_alone(table: "Binned", weights: Weights, models: int, depth: int, sub
             tree = _alone(part, weights.of(part, m), classes, depth, subset, seeds[m], least)
             yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([zlib.compress(pickle.dumps(tree), 1)])], ["m", "tree"])
 
-    found = {r["m"]: pickle.loads(zlib.decompress(r["tree"])) for r in over_one_part(table, columns, lots, grow, "m bigint, tree binary").collect()}
-    told.destroy()
+    return over_one_part(table, columns, lots, grow, "m bigint, tree binary")
+
+
+def _unpacked(rows: DataFrame, models: int, classes: int) -> list[Tree]:
+    found = {r["m"]: pickle.loads(zlib.decompress(r["tree"])) for r in rows.collect()}
     return [found.get(m) or Tree(sums=[np.zeros(classes)]) for m in range(models)]
 
 
@@ -518,6 +619,23 @@ class Ensemble(Predictor):
         return total / total.sum() if total.sum() > 0 else total
 
 
+@dataclass
+class StoredForest(Predictor):
+    """An ``Ensemble`` whose trees are a table, read by the driver only when it is asked to predict."""
+
+    rows: DataFrame
+    size: int
+    edges: list[np.ndarray]
+    classes: int
+
+    @property
+    def trees(self) -> list[Tree]:
+        return _unpacked(self.rows, self.size, self.classes)
+
+    def scores(self, df: DataFrame, name: str) -> DataFrame:
+        return Ensemble(self.trees, self.edges, self.classes).scores(df, name)
+
+
 def with_scores(df: DataFrame, named: dict[str, list[Ensemble]]) -> DataFrame:
     """Adds each name's class scores to rows with ``bins``; of several ensembles a row takes the one of its ``fold``."""
     ship(df.sparkSession)
@@ -551,21 +669,24 @@ def with_scores(df: DataFrame, named: dict[str, list[Ensemble]]) -> DataFrame:
 class Binned:
     """Rows with ``bins``, ``label``, ``row`` (a number that tells rows apart) and maybe ``fold``, written once.
 
-    ``one_part``: so few rows that one task may hold them all.
+    ``one_part``: so few rows that one task counts them all. ``alone``: so few that any task may hold all of them, to grow deep trees.
     """
 
     rows: DataFrame
     edges: list[np.ndarray]
     classes: int
     one_part: bool = False
+    alone: bool = False
 
 
-def binned(train: DataFrame, classes: int, keys: list[str] | None = None, max_bins: int = MAX_BINS) -> Binned:
-    edges = bin_edges(train, max_bins)
+def binned(train: DataFrame, classes: int, keys: list[str] | None = None, max_bins: int = MAX_BINS, edges: list[np.ndarray] | None = None) -> Binned:
+    """``train`` in the bins of ``edges``, or of its own."""
+    edges = bin_edges(train, max_bins) if edges is None else edges
     number = F.xxhash64(*keys) if keys else F.xxhash64("features", "label")
-    tasks = max(1, ceil(train.count() / ROWS_PER_TASK))  # each task hands on one number per bin, however few its rows
+    size = train.count()
+    tasks = max(1, ceil(size / ROWS_PER_TASK))  # each task hands on one number per bin, however few its rows
     rows = materialize(with_bins(train, edges).withColumn("row", number).repartition(tasks), "binned")
-    return Binned(rows, edges, classes, tasks == 1)
+    return Binned(rows, edges, classes, tasks == 1, size <= ROWS_ALONE)
 
 
 @dataclass
@@ -605,11 +726,18 @@ class HistogramForest:
     def _width(self, features: int) -> int:
         return features if self.subset == "all" else ceil(sqrt(features))
 
-    def tree_of(self, part: Rows, base: Weights, model: int, features: int) -> Tree:
-        """The first tree of ``fit_weighted`` for one model, where ``part`` holds all rows."""
+    def trees_of(self, part: Rows, base: Weights, model: int, leasts: list[float]) -> list[Tree]:
+        """The first tree of ``fit_weighted`` for one model, with each of ``leasts``, where ``part`` holds all rows."""
         seed = self._seed(model, 0)
         weights = Bootstrap(base, list(range(model + 1)), [seed if self.bootstrap else -1] * (model + 1))
-        return _alone(part, weights.of(part, model), self.classes, self.depth, self._width(features), seed, self.least)
+        return _alone_each(part, weights.of(part, model), self.classes, self.depth, self._width(part.bins.shape[1]), seed, leasts)
+
+    def fit_stored(self, table: Binned) -> "StoredForest":
+        """The forest of all rows of a table that is ``alone``; its trees stay in the shared folder."""
+        seeds = [self._seed(0, i) for i in range(self.trees)]
+        weights = Bootstrap(Weights([-1]), [0] * self.trees, seeds if self.bootstrap else [-1] * self.trees)
+        rows = _tree_rows(table, weights, self.trees, self.depth, self._width(len(table.edges)), seeds, self.least, ["bins", "label", "row"])
+        return StoredForest(materialize(rows, "forest"), self.trees, table.edges, self.classes)
 
     def fit_weighted(self, table: Binned, base: Weights, models: int, columns: list[str] | None = None) -> list[Ensemble]:
         """A forest for each of ``models`` weights. Tree ``i`` of a forest is the same whatever the number of trees."""

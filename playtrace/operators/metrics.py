@@ -25,6 +25,13 @@ def quadratic_kappa_of(a: str, b: str) -> Column:
     return 1 - F.try_divide(observed, expected)
 
 
+def quadratic_kappa_of_counts(a: str, b: str, n: str) -> Column:
+    """``quadratic_kappa_of`` where a row stands for ``n`` pairs of known ratings."""
+    x, y, w = (F.col(c).cast("double") for c in (a, b, n))
+    size, apart = F.sum(w), F.sum(w * (x - y) * (x - y))
+    return 1 - F.try_divide(apart * size, size * F.sum(w * (x * x + y * y)) - 2 * F.sum(w * x) * F.sum(w * y))
+
+
 def accuracy(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(accuracy_of(a, b).alias("accuracy"))
 

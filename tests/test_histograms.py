@@ -1,5 +1,7 @@
 """Trees from weighted histograms: exact cuts, folds fitted together, resamples as weights."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -197,3 +199,36 @@ def test_elimination_of_a_histogram_forest(spark, data):
     whole = learner.fit_weighted(H.binned(data, 3, ["id"]), H.Weights([-1]), 1)[0].predict(data)
     assert sorted(scores) == [1, 2, 3] and scores[best] == max(scores.values())
     assert abs(scores[3] - whole.agg(M.accuracy_of("label", "prediction")).first()[0]) < 1e-12
+
+
+def test_tree_count_sweep_in_tasks_counts_what_the_whole_forests_predict(data, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = data.select("id", "features", "label")
+    train, test = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    monkeypatch.setattr(P, "DRIVER_ROWS", 100)
+    monkeypatch.setattr(P, "JUDGED_ROWS", 30)
+    monkeypatch.setattr(P, "saved_trees", None)  # no forest comes to the driver
+    monkeypatch.setattr(RandomForestClassifier, "fit", None)
+    found = {(r["n_trees"], r["split"]): r["kappa"] for r in P.tree_count_sweep(train, test, largest=4, depth=5).collect()}
+    assert set(found) == {(n, s) for n in range(1, 5) for s in ("train", "test")}
+    keyed = train.select("features", "label", F.xxhash64("id").alias("k"))
+    for n in (1, 3, 4):
+        whole = H.HistogramForest(3, n, 5).fit_weighted(H.binned(keyed, 3, ["k"]), H.Weights([-1]), 1)[0]
+        for split, part in (("train", train), ("test", test)):
+            assert found[n, split] == pytest.approx(whole.predict(part).agg(M.quadratic_kappa_of("label", "prediction")).first()[0])
+
+
+def test_trees_of_several_smallest_leaves_are_those_grown_apart(data, monkeypatch):
+    table = H.binned(data.select("id", "features", "label", "fold"), 3, ["id"])
+    part = next(H._parts(iter(table.rows.toArrow().combine_chunks().to_batches()), 3))
+    monkeypatch.setattr(H, "ROWS_AT_ONCE", 16)
+    monkeypatch.setattr(H, "CELLS_AT_ONCE", 40)
+    forest = H.HistogramForest(3, 1, 8)
+    together = forest.trees_of(part, H.Weights([-1]), 0, [1.0, 2.0, 4.0])
+    spread = H.Binned(table.rows.repartition(3), table.edges, 3)
+    for least, tree in zip((1.0, 2.0, 4.0), together):
+        apart = replace(forest, least=least).fit_weighted(spread, H.Weights([-1]), 1)[0].trees[0]
+        assert len(tree.feature) == len(apart.feature)
+        assert np.array_equal(tree.leaf_shares()[tree.nodes_of(part.bins)], apart.leaf_shares()[apart.nodes_of(part.bins)])
+        assert [n.tolist() for n in tree.nodes_at(part.bins, [2, 8])] == [tree.nodes_of(part.bins, d).tolist() for d in (2, 8)]
