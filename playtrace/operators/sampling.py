@@ -51,6 +51,8 @@ class ClassIndex:
     def _drawn_numbers(self, mode: str, seeds: list[int]) -> DataFrame:
         """(label, row_in_class, draw, round) of every draw of each round.
 
+        The planner takes draws to be as few as classes and would broadcast them: joins name another way.
+
         A class is a row, which becomes a row for each block of its draws; blocks are dealt over the cluster before they become
         draws, so neither many classes nor large ones are one task's work or part of the plan.
         """
@@ -78,7 +80,7 @@ class ClassIndex:
         identifies the drawn row.
         """
         drawn = self._drawn_numbers(mode, [seed]).drop("round")
-        return drawn.join(self.rows, [self.label, "row_in_class"], "inner").select(*self.columns, "draw")
+        return drawn.hint("merge").join(self.rows, [self.label, "row_in_class"], "inner").select(*self.columns, "draw")
 
     def draw_counts(self, mode: str = "down", seeds: list[int] | None = None, name: str = "draws") -> DataFrame:
         """All rows with ``draws``: how often the resample of each seed draws the row. One table stands for all resamples."""
@@ -88,7 +90,7 @@ class ClassIndex:
         rounds = counted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("round", "n"))).alias("_n"))
         each = F.transform(F.sequence(F.lit(0), F.lit(len(seeds) - 1)), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0)))
         labelled = self.rows.filter(F.col(self.label).isNotNull())
-        return labelled.join(rounds, key, "left").select(*self.columns, each.alias(name))
+        return labelled.join(rounds.hint("merge"), key, "left").select(*self.columns, each.alias(name))
 
 
 def balanced_resample(df: DataFrame, label: str, keys: list[str], mode: str = "down", seed: int = 42) -> DataFrame:

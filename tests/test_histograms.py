@@ -167,6 +167,13 @@ def test_draws_are_dealt_over_tasks(data):
     assert drawn.select(F.spark_partition_id().alias("task")).distinct().count() > 1
 
 
+def test_draws_do_not_go_through_the_driver(data):
+    index = L.ClassIndex(data.select("id", "label"), "label", ["id"])
+    for drawn in (index.draw("over", 3), index.draw_counts("over", [3, 4])):
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shrinking_forests_read_rows_only_for_new_nodes_and_equal_forests_grown_anew(spark):
     rng = np.random.default_rng(11)
     matrix = rng.integers(0, 6, (600, 8)).astype(float)
