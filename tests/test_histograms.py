@@ -239,3 +239,13 @@ def test_trees_of_several_smallest_leaves_are_those_grown_apart(data, monkeypatc
         assert len(tree.feature) == len(apart.feature)
         assert np.array_equal(tree.leaf_shares()[tree.nodes_of(part.bins)], apart.leaf_shares()[apart.nodes_of(part.bins)])
         assert [n.tolist() for n in tree.nodes_at(part.bins, [2, 8])] == [tree.nodes_of(part.bins, d).tolist() for d in (2, 8)]
+
+
+def test_all_passes_of_all_fits_read_rows_that_are_packed_once(data, monkeypatch):
+    packed, calls = H._packed_rows, []
+    monkeypatch.setattr(H, "_packed_rows", lambda *given: calls.append(given) or packed(*given))
+    table = H.binned(data.select("id", "features", "label", "fold"), 3, ["id"])
+    spread = H.Binned(table.rows, table.edges, 3)  # a job for each level
+    for learner in (H.HistogramTree(3, 2), H.AdaptiveBoosting(3, 3)):
+        learner.fit_folds(spread, 4)
+    assert len(calls) == 1
